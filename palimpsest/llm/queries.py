@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, secrets
+from . import chat, exact_dedup, mixing, packing, quality, secrets, token_counts
 from .shared import cut
 
 
@@ -108,10 +109,40 @@ SELECT d.doc_id, text, lang, source, n_chars, copy, round(rate, 9) AS rate
 FROM d JOIN n USING (doc_id), LATERAL (SELECT CAST(unnest(range(1, n.n + 1)) AS INT) AS copy)
 """
 
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after three edits: a phrase replaced, one inserted, one appended."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    trees = token_counts.build_trees(read(spark, sf_dir, "documents"), path)
+    n = F.length("text")
+    edit = lambda start, stop, text: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), text.alias("text"))
+    third = F.floor(n / 3)
+    edits = F.array(edit(third, third + 7, F.lit("a changed phrase")), edit(2 * third, 2 * third, F.lit("It's new\n\n")), edit(n + 32, n + 32, F.lit(" the end")))
+    before = trees.withColumn("edits", edits).withColumn("key", F.struct("doc_id", n.cast("long").alias("n_chars"), "n_tokens"))
+    after = token_counts.apply_edits(before, path, "key")
+    return after.select(
+        "key.doc_id", "key.n_chars", F.col("key.n_tokens").alias("n_tokens"), F.length("text").cast("long").alias("n_chars_after"), F.col("n_tokens").alias("n_tokens_after"), "reencoded"
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_on(docs, read(spark, sf_dir, "labels"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_quality": op5_quality,
+    "op6_packing": op6_packing,
     "op8_mix_sources": op8_mix_sources,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
