@@ -15,13 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, text_of
+from .shared import FILTER_BITS, cut, fresh, may_contain, text_of
 
 #: Runs of the ASCII white space that normalisation replaces by one space.
 WHITE = r"[\x20\x09-\x0D]+"
-#: Bits of the filter of repeated digests: its broadcast is at most FILTER_BITS / 8 = 8 MB.
-FILTER_BITS = 1 << 26
-_BITMAP = 32768
 
 
 def normalised(name: str = "text") -> Column:
@@ -32,7 +29,7 @@ class DigestIndex:
     """Sorted runs of (digest, id, sha) and the level they compact to."""
 
     def __init__(self, spark: SparkSession, digest_bits: int = 256, filter_bits: int = FILTER_BITS) -> None:
-        if digest_bits % 8 or not 8 <= digest_bits <= 256 or filter_bits % _BITMAP:
+        if digest_bits % 8 or not 8 <= digest_bits <= 256 or filter_bits % 32768:
             raise ValueError("digest_bits: 8, 16, ... 256; filter_bits: a multiple of 32768")
         self.spark, self.bytes, self.filter_bits = spark, digest_bits // 8, filter_bits
         self.runs: list[DataFrame] = []
@@ -59,30 +56,12 @@ class DigestIndex:
         self.level = cut(merged.sortWithinPartitions("digest"), "level", **{"parquet.bloom.filter.enabled#digest": "true"})
         return self.level
 
-    def _bit(self, digest: Column) -> Column:
-        return F.pmod(F.xxhash64(digest), F.lit(self.filter_bits))
-
-    def repeated(self) -> DataFrame:
-        """The filter of repeated digests: (bucket, bits), at most filter_bits / 32768 rows of 4 KB."""
-        level = self.level if self.level is not None else self.compact()
-        bit = self._bit(F.col("digest"))
-        return (
-            level.where("n > 1")
-            .select(F.shiftright(bit, 15).alias("bucket"), bit.bitwiseAND(F.lit(_BITMAP - 1)).alias("bit"))
-            .groupBy("bucket")
-            .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        )
-
     def candidates(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, digest, norm) of the rows that may share a digest with another row."""
+        """(id, digest, norm) of the rows that may share a digest with another row, by the filter of repeated digests."""
+        level = self.level if self.level is not None else self.compact()
         norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-        rows = norm.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", self.digest()).drop("sha")
-        bit = self._bit(F.col("digest"))
-        rows = rows.withColumn("bucket", F.shiftright(bit, 15)).withColumn("bit", bit.bitwiseAND(F.lit(_BITMAP - 1)))
-        byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        hit = F.expr("shiftright(byte, cast(bit % 8 as int)) & 1 = 1")
-        kept = rows.join(F.broadcast(cut(self.repeated(), "filter")), "bucket")
-        return kept.withColumn("byte", byte).where(hit).select("id", "digest", "norm")
+        rows = norm.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", self.digest())
+        return may_contain(rows.select("id", "digest", "norm"), "digest", level.where("n > 1"), "digest", self.filter_bits)
 
 
 def exact_dedup(

@@ -169,3 +169,16 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``score``: the probability of label 1; null texts are empty and get a score too."""
     return _mapped(docs, text_col, model)
+
+
+def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, with all columns."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack([features(t.as_py() or "") for t in batch.column(place)])
+                yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

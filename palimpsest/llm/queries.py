@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, secrets, token_counts
+from . import chat, exact_dedup, itq, minhash, mixing, packing, quality, secrets, suffix_dedup, token_counts
 from .shared import cut
 
 
+#: Python workers find the package here even where they start in another folder.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -136,6 +142,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(read(spark, sf_dir, "documents"))
+
+
+def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_token_counts": op2_token_counts,
@@ -143,6 +161,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_minhash": op9_minhash,
+    "op10_itq": op10_itq,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}

@@ -56,6 +56,24 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Bits of a membership filter: it is broadcast as at most FILTER_BITS / 32768 rows of 4 KB, 8 MB in all.
+FILTER_BITS = 1 << 26
+_BITMAP = 32768
+
+
+def may_contain(rows: DataFrame, key: str, members: DataFrame, member: str, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` may be among ``members``: all that are, and others as the filter of a fixed size fills up."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
+    parts = lambda c: (F.shiftright(bit(c), 15), bit(c).bitwiseAND(F.lit(_BITMAP - 1)))
+    bucket, place, bits, byte = (fresh(rows, c) for c in ("filter_bucket", "filter_place", "filter_bits", "filter_byte"))
+    of = [c.alias(n) for c, n in zip(parts(F.col(member)), (bucket, place))]
+    built = members.select(*of).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits))
+    own = parts(F.col(key))
+    kept = rows.withColumn(bucket, own[0]).withColumn(place, own[1]).join(F.broadcast(cut(built, "filter")), bucket)
+    kept = kept.withColumn(byte, F.conv(F.hex(F.expr(f"substring({bits}, cast({place} div 8 as int) + 1, 1)")), 16, 10).cast("int"))
+    return kept.where(F.expr(f"shiftright({byte}, cast({place} % 8 as int)) & 1 = 1")).select(*rows.columns)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the links ``(a, b)``: one row ``(node, root)`` per linked node, ``root`` the smallest of its component.
 
