@@ -29,8 +29,8 @@ class DigestIndex:
     """Sorted runs of (digest, id, sha) and the level they compact to."""
 
     def __init__(self, spark: SparkSession, digest_bits: int = 256, filter_bits: int = FILTER_BITS) -> None:
-        if digest_bits % 8 or not 8 <= digest_bits <= 256 or filter_bits % 32768:
-            raise ValueError("digest_bits: 8, 16, ... 256; filter_bits: a multiple of 32768")
+        if digest_bits % 8 or not 8 <= digest_bits <= 256:
+            raise ValueError("digest_bits: 8, 16, ... 256")
         self.spark, self.bytes, self.filter_bits = spark, digest_bits // 8, filter_bits
         self.runs: list[DataFrame] = []
         self.level: DataFrame | None = None

@@ -7,10 +7,11 @@ its weight. A point falls on one component of the signature; the component keeps
 Processes stop as soon as they are later than the latest component, so that the cost hardly depends on
 weights. Two signatures agree in a component with probability (sum of minima) / (sum of maxima).
 
-Bands of the signature give buckets. In each bucket the members are compared with a leader by the true
-overlap of their bags; members that aren't alike become leaders in turn, and the triangle inequality of
-the distance tells which others they can still be like. So the links found connect all that comparing
-all pairs of a bucket would connect, with pairs in proportion to members.
+Bands of the signature give buckets. In each bucket the members are compared with a few leaders by the
+true overlap of their bags; of those that are like no leader some become the next leaders, twice as many
+in each round, and the triangle inequality of the distance tells which others they can still be like. So
+the links found connect all that comparing all pairs of a bucket would connect, and a bucket of copies
+takes pairs in proportion to its members.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import connected_components, cut, fresh, may_contain, text_of
@@ -161,26 +162,28 @@ def links(docs: DataFrame, text_col: str = "text", alike: float = ALIKE, bands:
     asked = cut(active.select("node").distinct(), "asked")
     texts = may_contain(rows_, "node", asked, "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = cut(texts.join(asked, "node", "left_semi"), "texts")
-    found = []
+    bucket, by_node = ["band", "key"], ["band", "key", "node"]
+    known, leaders = docs.sparkSession.createDataFrame([], "a binary, b binary, alike double"), 2
     while True:
-        lead = active.groupBy("band", "key").agg(F.min(F.when(F.col("open"), F.col("node"))).alias("lead"), F.count("*").alias("n"))
-        rest = cut(active.join(lead.where("lead is not null and n > 1").drop("n"), ["band", "key"]).where("node <> lead"), "rest")
+        first = F.row_number().over(Window.partitionBy(*bucket).orderBy("node"))
+        lead = active.where("open").select(*by_node, first.alias("n")).where(F.col("n") <= leaders)
+        lead = lead.groupBy(*bucket).agg(F.collect_list("node").alias("leads"))
+        rest = active.join(lead, bucket).withColumn("leads_", F.expr("array_contains(leads, node)")).withColumn("lead", F.explode("leads")).drop("leads")
+        rest = cut(rest.where("node <> lead and (node > lead or not leads_)"), "rest")
         if rest.isEmpty():
             break
-        pairs = rest.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+        pairs = rest.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        known = cut(both.mapInArrow(_verify(width), "a binary, b binary, alike double"), "known")
-        found.append(known.where(F.col("alike") >= alike).select("a", "b"))
-        seen = rest.join(known.toDF("node", "lead", "alike"), ["node", "lead"])
-        seen = seen.withColumn("open", F.col("open") & (F.col("alike") < alike)).drop("lead")
-        seen = cut(seen, "seen")
-        left = seen.where("open").groupBy("band", "key").agg(F.min("alike").alias("low"), F.max("alike").alias("high"))
-        near = F.col("open") | F.col("alike").between(F.col("low") - (1 - alike) - 1e-9, F.col("high") + (1 - alike) + 1e-9)
-        active = cut(seen.join(left, ["band", "key"]).where(near).select("band", "key", "node", "open"), "buckets")
-    out = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    for one in found:
-        out = out.union(one)
-    return out
+        known = known.union(cut(both.mapInArrow(_verify(width), "a binary, b binary, alike double"), "known"))
+        seen = rest.where("not leads_").drop("leads_").join(known.toDF("node", "lead", "alike"), ["node", "lead"])
+        still = seen.groupBy(*by_node).agg((F.bool_and("open") & (F.max("alike") < alike)).alias("open"))
+        seen = cut(seen.drop("open").join(still, by_node), "seen")
+        left = seen.where("open").groupBy(*bucket, "lead").agg(F.min("alike").alias("low"), F.max("alike").alias("high"))
+        near = F.col("alike").between(F.col("low") - (1 - alike) - 1e-9, F.col("high") + (1 - alike) + 1e-9)
+        after = seen.join(left, [*bucket, "lead"]).groupBy(*by_node).agg(F.bool_and("open").alias("open"), F.bool_and(near).alias("near"))
+        active = cut(after.where("open or near").drop("near"), "buckets")
+        leaders *= 2
+    return known.where(F.col("alike") >= alike).select("a", "b")
 
 
 def near_dedup(

@@ -63,7 +63,9 @@ _BITMAP = 32768
 
 def may_contain(rows: DataFrame, key: str, members: DataFrame, member: str, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The rows whose ``key`` may be among ``members``: all that are, and others as the filter of a fixed size fills up."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
+    bit = lambda c: F.xxhash64(c).bitwiseAND(F.lit(filter_bits - 1))  # noqa: E731  never null: no filter on it is pushed below the key
+    if filter_bits & (filter_bits - 1) or filter_bits < _BITMAP:
+        raise ValueError("filter_bits: a power of two from 32768 on")
     parts = lambda c: (F.shiftright(bit(c), 15), bit(c).bitwiseAND(F.lit(_BITMAP - 1)))
     bucket, place, bits, byte = (fresh(rows, c) for c in ("filter_bucket", "filter_place", "filter_bits", "filter_byte"))
     of = [c.alias(n) for c, n in zip(parts(F.col(member)), (bucket, place))]
