@@ -62,25 +62,24 @@ def chosen_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     known = node.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     up = node.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
     up = cut(up.select("tree", "node", F.col("p").alias("up"), "score", F.lit(1).cast("long").alias("steps")), "up")
-    lifts, left, bound = [up], up.where("up is not null").count(), node.count()
-    while left and 1 << (len(lifts) - 1) <= bound:  # beyond the bound, what is left are cycles
-        above = up.select(
-            F.col("tree").alias("t"), F.col("node").alias("m"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("steps").alias("n2")
-        )
-        joined = up.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")), "left")
-        up = joined.select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("n2", F.lit(0))).alias("steps")
-        )
-        up = cut(up, "up")
-        lifts.append(up)
-        left = up.where("up is not null").count()
+    # climbing: nodes with the ancestor that they have reached; done: nodes with the sums up to their root
+    done, climbing = up.where("up is null").drop("up"), up.where("up is not null")
+    lifts, left, bound = [], climbing.count(), node.count()
+    while left and 1 << len(lifts) <= bound:  # beyond the bound, what is left are cycles
+        lifts.append(climbing.select("tree", "node", "up"))
+        name = lambda rows, above: rows.select(F.col("tree").alias("t"), F.col("node").alias("m"), above.alias("up2"), F.col("score").alias("s2"), F.col("steps").alias("n2"))
+        above = name(climbing, F.col("up")).union(name(done, F.lit(None).cast(dict(climbing.dtypes)["up"])))
+        joined = climbing.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")))
+        joined = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("steps") + F.col("n2")).alias("steps")), "up")
+        done, climbing = done.union(joined.where("up is null").drop("up")), joined.where("up is not null")
+        left = climbing.count()
     inner = node.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    leaf = up.where("up is null").join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    leaf = done.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), "node")
     leaf = leaf.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     path = leaf.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("steps").alias("pos"))
     for k in range(len(lifts) - 1, -1, -1):  # each known node of a path adds the one 2^k steps above it
-        lift = lifts[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("m"), "up")
+        lift = lifts[k].select(F.col("tree").alias("t"), F.col("node").alias("m"), "up")
         more = path.join(lift, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("m")))
         path = path.union(more.select("tree", "leaf", "rank", F.col("up"), F.col("pos") - (1 << k)))
         if k:
