@@ -36,15 +36,18 @@ def digest(block: Column) -> Column:
     return F.sha2(block, 256)
 
 
-def dedupe(blocks: DataFrame, objects: DataFrame | None = None, base: int = 0) -> tuple[DataFrame, DataFrame]:
+def dedupe(blocks: DataFrame, objects: DataFrame | None = None, base: int = 0, share: bool = True) -> tuple[DataFrame, DataFrame]:
     """(references, new objects): equal blocks share an object, equal in bytes, not in digest alone.
 
     Grouping by digest, length and bytes is aggregated before the shuffle: however often a block occurs, a
     task sends it once. ``objects`` are those stored before; new ones get ids after ``base`` in the order of
-    first occurrence (key, ord).
+    first occurrence (key, ord). Without ``share`` every block is an object of its own.
     """
     named = blocks.withColumn("digest", digest(F.col("block"))).withColumn("raw_len", F.octet_length("block"))
     by = ["digest", "raw_len", "block"]
+    if not share:
+        new = numbered(named.withColumn("first", F.struct("key", "ord")), "first", "object_id", base)
+        return new.select("key", "ord", "begin", "stop", "object_id"), new.select("object_id", *by)
     groups = named.groupBy(*by).agg(F.min(F.struct("key", "ord")).alias("first"))
     if objects is not None:
         old = objects.select(*by, F.col("object_id").alias("old_id"))

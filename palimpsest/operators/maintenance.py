@@ -112,7 +112,7 @@ def dangling_sources(records: DataFrame, sources: DataFrame) -> DataFrame:
     return records.where("source_id is not null").join(sources.select("source_id"), "source_id", "left_anti").select("source_id").distinct()
 
 
-def verify(refs: DataFrame, objects: DataFrame, stored: DataFrame, candidates: DataFrame, units: DataFrame | None = None) -> DataFrame:
+def verify(refs: DataFrame, objects: DataFrame, stored: DataFrame, candidates: DataFrame, units: DataFrame | None = None, params: dict[int, bytes] | None = None) -> DataFrame:
     """(problem, n, fatal): orphans and stale candidates are no errors."""
     parts = {
         "missing_object": (missing_objects(refs, objects), True),
@@ -123,7 +123,7 @@ def verify(refs: DataFrame, objects: DataFrame, stored: DataFrame, candidates: D
         "dangling_candidate": (candidate_report(candidates, objects, refs).where("status = 'dangling'"), True),
     }
     if units is not None:
-        parts["unit"] = (bad_units(units), True)
+        parts["unit"] = (bad_units(units, params), True)
     out = None
     for name, (rows, fatal) in parts.items():
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n", F.lit(fatal).alias("fatal"))

@@ -20,19 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..errors import InvalidArgument, LimitExceeded, RevisionConflict, StoreError
+from ..errors import InvalidArgument, LimitExceeded, RevisionConflict, StoreError, Unsupported
+from ..functions.codecs import Selector
 from ..functions.generators import MAX_PARAMS, Registry
 from ..functions.hashing import blake3
-from ..functions.keys import UNBOUNDED, Bound
+from ..functions.keys import UNBOUNDED, Bound, prefix_bounds
 from ..operators import blocks, log, maintenance, scans, writes
+from .training import Training, train
 
 LOG = (
     "key binary, revision long, kind string, logical_len long, value binary, chunks array<struct<ord: int, begin: bigint, stop: bigint, object_id: bigint>>, "
     "source_id long, generator_id int, generator_version int, params binary, place long"
 )
-OBJECTS = "object_id long, digest string, raw_len int, block binary"
+OBJECTS = "object_id long, digest string, raw_len int, codec string, aux_id long, body binary, body_len int, blake3 binary"
+PARAMS = "param_id long, kind string, version int, bytes binary"
 SOURCES = "source_id long, kind string, location string, adapter_version int, revision long, bytes long, digest string, unix_ms long"
-TABLES = {"log": LOG, "objects": OBJECTS, "sources": SOURCES}
+TABLES = {"log": LOG, "objects": OBJECTS, "sources": SOURCES, "params": PARAMS}
 RETRIES = 16
 
 
@@ -45,7 +48,7 @@ class Store:
         self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         config = config or Config()
         if not self._ids():
-            meta = {"version": 1, "mode": config.mode, "block_size": config.block_size, "inline_max": config.inline_max, "next_revision": 1, "next_object": 1, "next_source": 1}
+            meta = {"version": 1, "mode": config.mode, "block_size": config.block_size, "inline_max": config.inline_max, "next_revision": 1, "next_object": 1, "next_source": 1, "next_param": 1, "active": {}}
             self._publish(0, {"meta": meta, "tables": {t: [] for t in TABLES}, "durable": True, "tags": []})
         meta = self._commit()["meta"]
         if meta["version"] != 1:
@@ -164,9 +167,13 @@ class Store:
         new = {t: list(base["tables"][t]) for t in TABLES}
         if not large.isEmpty():
             cut = blocks.split(large.select(F.col("key_").alias("key"), "value"), self.config.block_size)
-            old = self.table("objects", base) if self.config.shares else None
-            refs, objects = blocks.dedupe(cut, old, meta["next_object"] - 1)
-            file = self._write("objects", objects.select("object_id", "digest", "raw_len", "block"))
+            old = None
+            if self.config.shares and base["tables"]["objects"]:  # stored blocks of a new block's digest and length, decoded to compare their bytes
+                new_ = cut.select(blocks.digest(F.col("block")).alias("digest"), F.octet_length("block").alias("raw_len")).distinct()
+                old = self.blocks(self.table("objects", base).join(new_, ["digest", "raw_len"], "left_semi"), base)
+            refs, objects = blocks.dedupe(cut, old, meta["next_object"] - 1, self.config.shares)
+            units = blocks.encode_units(objects.select("object_id", "digest", "raw_len", "block"), self.selector(base))
+            file = self._write("objects", units.select("object_id", "digest", "raw_len", "codec", "aux_id", "body", "body_len", "blake3"))
             new["objects"].append(file)
             top = self.spark.read.parquet(f"{self.path}/{file}").agg(F.max("object_id")).first()[0]
             meta["next_object"] = max(meta["next_object"], (top or 0) + 1)
@@ -190,10 +197,10 @@ class Store:
         given = {r.ord: r.revision for r in rows}
         return [r.revision if r.op == "put" else (given[r.touched] if r.touched is not None else r.actual) for r in rows]
 
-    def write_batch_each(self, ops: Iterable[tuple]) -> list[str]:
+    def write_batch_each(self, ops: Iterable[tuple], durable: bool = True) -> list[str]:
         """As write_batch, but operations that fail are skipped: each one's status."""
         ops = list(ops)
-        got = {r.ord: r.status for r in self.write(self._ops(ops), atomic=False).collect()}
+        got = {r.ord: r.status for r in self.write(self._ops(ops), atomic=False, durable=durable).collect()}
         return [got.get(k, "invalid") for k in range(len(ops))]
 
     def put(self, key: bytes, value: bytes, expect: str = "any", revision: int | None = None) -> int:
@@ -230,11 +237,50 @@ class Store:
             self._publish(base["id"] + 1, {**base, "durable": True})
         return self._ids()[-1]
 
+    # --- units -------------------------------------------------------------------------------
+    def params(self, commit: dict | None = None) -> dict[int, bytes]:
+        """The dictionaries and templates there are: a few, of bounded size."""
+        return {r.param_id: bytes(r.bytes) for r in self.table("params", commit).collect()}
+
+    def selector(self, commit: dict | None = None) -> Selector:
+        commit = commit or self._commit()
+        active = commit["meta"]["active"]
+        known = self.params(commit) if active else {}
+        pick = lambda kind: (active[kind], known[active[kind]]) if kind in active else None
+        return Selector(self.config.policy, self.config.mode, pick("zstd_dict"), pick("template"))
+
+    def blocks(self, objects: DataFrame, commit: dict | None = None) -> DataFrame:
+        """(object_id, digest, raw_len, block): decoded units; one that can't be decoded raises."""
+        done = blocks.decode_units(objects, self.params(commit), self.config.verify_on_read)
+        block = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("IntegrityError: "), "problem")).cast("binary")).otherwise(F.col("data"))
+        return done.select("object_id", "digest", "raw_len", block.alias("block"))
+
+    def install_param(self, kind: str, raw: bytes) -> int:
+        """A dictionary (zstd_dict) or template that new units use from now on; it is never changed."""
+        if self.config.mode == "pure":
+            raise Unsupported("pure mode has no parameters")
+        for _ in range(RETRIES):
+            base = self._commit()
+            meta = json.loads(json.dumps(base["meta"]))
+            id_, meta["next_param"] = meta["next_param"], meta["next_param"] + 1
+            meta["active"][kind] = id_
+            new = {t: list(f) for t, f in base["tables"].items()}
+            new["params"].append(self._write("params", self.spark.createDataFrame([(id_, kind, 1, raw)], PARAMS)))
+            if self._publish(base["id"] + 1, {**base, "meta": meta, "tables": new}):
+                return id_
+        raise RevisionConflict(b"", "the newest commit", base["id"])
+
+    def train(self, kind: str, samples: int = 2000, size: int = 64 * 1024, uses: int = 10_000, prefix: bytes = b"") -> Training:
+        """Train on at most ``samples`` current values under a prefix, evenly split, and install what is expected to save bytes."""
+        rows = self.scan(*prefix_bounds(prefix), limit=samples)
+        return train(self, kind, [bytes(r.value) for r in rows.select("value").collect()], size, uses)
+
     # --- reads -------------------------------------------------------------------------------
     def values(self, rows: DataFrame, commit: dict | None = None) -> DataFrame:
         """(key, revision, logical_len, value) of log rows that are inline or chunks."""
         refs = rows.where("kind = 'chunks'").select(F.struct("key", "revision").alias("key"), F.explode("chunks").alias("c")).select("key", "c.*")
-        whole = blocks.reassemble(refs, self.table("objects", commit))
+        needed = self.table("objects", commit).join(refs.select("object_id").distinct(), "object_id", "left_semi")
+        whole = blocks.reassemble(refs, self.blocks(needed, commit))
         joined = rows.join(whole.select(F.col("key").alias("_key"), F.col("value").alias("_value"), "complete"), F.struct("key", "revision") == F.col("_key"), "left")
         broken = (F.col("kind") == "chunks") & ~F.coalesce("complete", F.lit(False))
         value = F.when(broken, F.raise_error(F.lit("IntegrityError: a block is missing")).cast("binary")).when(F.col("kind") == "chunks", F.col("_value")).otherwise(F.col("value"))
@@ -270,7 +316,9 @@ class Store:
         if row.kind == "inline" or not length:
             return bytes(row.value or b"")[offset : offset + length]
         refs = self._row(key).select("key", F.explode("chunks").alias("c")).select("key", "c.*")
-        return bytes(blocks.reassemble(refs, self.table("objects"), offset, length).first().value)
+        hit = refs.where((F.col("stop") > offset) & (F.col("begin") < offset + length))
+        needed = self.table("objects").join(hit.select("object_id"), "object_id", "left_semi")
+        return bytes(blocks.reassemble(hit, self.blocks(needed), offset, length).first().value)
 
     def head(self, key: bytes) -> tuple[int, int] | None:
         row = self._row(key).select("revision", "logical_len").first()
@@ -313,9 +361,14 @@ class Store:
     def stats(self) -> DataFrame:
         return maintenance.stats(log.newest(self.log().drop("place").withColumnRenamed("revision", "revision")))
 
-    def verify(self) -> DataFrame:
+    def usage(self) -> DataFrame:
+        """Units and bytes per codec, inline values as raw."""
+        inline = self.state().where("kind = 'inline'").select(F.lit("raw").alias("codec"), F.col("logical_len").cast("int").alias("raw_len"), F.col("logical_len").cast("int").alias("body_len"))
+        return maintenance.usage_by_codec(self.table("objects").select("codec", "raw_len", "body_len").unionByName(inline))
+
+    def verify(self, deep: bool = False) -> DataFrame:
         objects, refs = self.table("objects"), self.refs()
-        return maintenance.verify(refs, objects, blocks.refcounts(refs), objects.select("digest", "raw_len", "object_id"))
+        return maintenance.verify(refs, objects, blocks.refcounts(refs), objects.select("digest", "raw_len", "object_id"), objects if deep else None, self.params())
 
     def gc(self) -> int:
         """Drop objects that no retained revision names; how many."""

@@ -184,3 +184,70 @@ def test_numbering_has_no_gaps(spark):
     got = sorted((r.o, r.n) for r in writes.numbered(rows, "o", "n", 10).collect())
     assert [n for _, n in got] == list(range(11, 1011))
     assert writes.numbered(rows.limit(0), "o", "n").count() == 0
+
+
+def test_codecs_dictionaries_and_deep_verification(spark, path):
+    from palimpsest.errors import Unsupported
+    from palimpsest.plans.training import AutoDictionary
+
+    store = Store(spark, path, Config(block_size=1024, inline_max=64))
+    values = [b'{"id":%06d,"name":"somebody","text":"%s"}' % (i, b"common words of all " * (2 + i % 5)) for i in range(400)]
+    store.write_batch([("put", b"v%04d" % i, v) for i, v in enumerate(values[:40])])
+    trained = store.train("zstd_dict", uses=100_000)
+    assert trained.status in ("installed", "failed", "rejected")
+    auto = AutoDictionary(store, target=200)
+    for v in values:
+        auto.observe(v)
+    assert auto.status in ("installed", "superseded", "rejected", "failed")
+    store.write_batch([("put", b"w%04d" % i, v) for i, v in enumerate(values[40:80])])
+    used = {r.codec: r for r in store.usage().collect()}
+    assert set(used) - {"raw"} and sum(r.body_bytes for r in used.values()) < sum(r.raw_bytes for r in used.values())
+    assert {bytes(r.key): bytes(r.value) for r in store.scan().collect()} == {(b"v%04d" if i < 40 else b"w%04d") % (i if i < 40 else i - 40): v for i, v in enumerate(values[:80])}
+    assert maintenance.is_ok(store.verify(deep=True))
+    base = store._commit()
+    store._rewrite({"objects": store.table("objects").withColumn("body", F.when(F.col("object_id") == 1, F.lit(b"bad")).otherwise(F.col("body")))}, base)
+    assert not maintenance.is_ok(store.verify(deep=True))
+    with pytest.raises(Exception, match="IntegrityError"):
+        store.get(b"v0000")
+    pure = Store(spark, path + "-pure", Config(mode="pure", block_size=512, inline_max=64))
+    pure.write_batch([("put", b"a", bytes(1024)), ("put", b"b", bytes(1024))])
+    assert pure.table("objects").count() == 4 and pure.get(b"b") == bytes(1024)
+    with pytest.raises(Unsupported):
+        pure.train("template")
+
+
+def test_group_commit_and_shared_reads(spark, path):
+    from palimpsest.plans.committer import Coalescer, GroupCommitter, RecentCache
+
+    store = Store(spark, path, SMALL)
+    committer = GroupCommitter(store, interval=5.0)
+    done = [committer.submit([("put", b"k%d" % n, b"v%d" % n)]) for n in range(6)] + [committer.submit([("put", b"k0", b"x", ("absent", None)), ("delete", b"none")])]
+    assert [d.result() for d in done] == [["ok"]] * 6 + [["conflict", "noop"]]
+    committer.flush()
+    committer.close()
+    assert committer.stats.ops == 8 and committer.stats.batches < 8 and committer.stats.syncs >= 1 and store._commit()["durable"]
+    reads = Coalescer(store)
+    got = []
+    threads = [threading.Thread(target=lambda: got.append(reads.get(b"k3"))) for _ in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert got == [b"v3"] * 3 and reads.shared >= 1 and [k for k, _ in reads.scan_prefix(b"k", 2)] == [b"k0", b"k1"]
+    cache = RecentCache(page=2, max_bytes=10)
+    token = cache.begin(1)
+    assert cache.install(1, [(5, b"e"), (4, b"d")], token) and cache.latest(1, 1) == [(5, b"e")]
+    cache.write(1, 6, b"f")
+    assert cache.latest(1, 2) == [(6, b"f"), (5, b"e")] and cache.latest(1, 3) is None
+    assert not cache.install(1, [], token)
+    cache.write(1, 6, None)
+    assert cache.latest(1, 1) is None
+
+
+def test_command_line(spark, path, capsys):
+    from palimpsest import cli
+
+    store = Store(spark, path, SMALL)
+    run = lambda *a: cli.run(store, cli.parser().parse_args([path, *a]))
+    assert run("put", "k/1", "one") == 0 and run("get", "k/1") == 0 and run("get", "no") == 1 and run("scan", "k/") == 0 and run("verify") == 0 and run("stats") == 0
+    assert "one" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args([path, "nothing"])
