@@ -43,6 +43,11 @@ def cut(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
+    """From now on Arrow batches to Python hold at most ``mb`` MB, which bounds the memory of workers and executors alike."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -61,19 +66,36 @@ FILTER_BITS = 1 << 26
 _BITMAP = 32768
 
 
-def may_contain(rows: DataFrame, key: str, members: DataFrame, member: str, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose ``key`` may be among ``members``: all that are, and others as the filter of a fixed size fills up."""
-    bit = lambda c: F.xxhash64(c).bitwiseAND(F.lit(filter_bits - 1))  # noqa: E731  never null: no filter on it is pushed below the key
+def _filtered(rows: DataFrame, key: Column, members: DataFrame, member: str, filter_bits: int) -> tuple[DataFrame, Column]:
+    """Rows joined with a filter of the members, and whether the filter has the row's key."""
     if filter_bits & (filter_bits - 1) or filter_bits < _BITMAP:
         raise ValueError("filter_bits: a power of two from 32768 on")
+    bit = lambda c: F.xxhash64(c).bitwiseAND(F.lit(filter_bits - 1))  # noqa: E731  never null: no filter on it is pushed below the key
     parts = lambda c: (F.shiftright(bit(c), 15), bit(c).bitwiseAND(F.lit(_BITMAP - 1)))
-    bucket, place, bits, byte = (fresh(rows, c) for c in ("filter_bucket", "filter_place", "filter_bits", "filter_byte"))
+    bucket, place, bits = (fresh(rows, c) for c in ("filter_bucket", "filter_place", "filter_bits"))
     of = [c.alias(n) for c, n in zip(parts(F.col(member)), (bucket, place))]
     built = members.select(*of).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits))
-    own = parts(F.col(key))
-    kept = rows.withColumn(bucket, own[0]).withColumn(place, own[1]).join(F.broadcast(cut(built, "filter")), bucket)
-    kept = kept.withColumn(byte, F.conv(F.hex(F.expr(f"substring({bits}, cast({place} div 8 as int) + 1, 1)")), 16, 10).cast("int"))
-    return kept.where(F.expr(f"shiftright({byte}, cast({place} % 8 as int)) & 1 = 1")).select(*rows.columns)
+    own = parts(key)
+    held = rows.withColumn(bucket, own[0]).withColumn(place, own[1]).join(F.broadcast(cut(built, "filter")), bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({place} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return held, _has(byte, place)
+
+
+def _has(byte: Column, place: str) -> Column:
+    mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.col(place) % 8 + 1).cast("int"))
+    return F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
+
+
+def may_contain(rows: DataFrame, key: str, members: DataFrame, member: str, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` may be among ``members``: all that are, and others as the filter of a fixed size fills up."""
+    held, has = _filtered(rows, F.col(key), members, member, filter_bits)
+    return held.where(has).select(*rows.columns)
+
+
+def cannot_contain(rows: DataFrame, key: str, members: DataFrame, member: str, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows that ``may_contain`` leaves out."""
+    held, has = _filtered(rows, F.col(key), members, member, filter_bits)
+    return held.where(~has).select(*rows.columns)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

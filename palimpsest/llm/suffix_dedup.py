@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, may_contain, text_of
+from .shared import bounded_batches, cut, may_contain, text_of
 from .words import hashed, parts, rolling
 
 #: Least words of a repeated passage; words of a run; runs of which one is kept.
@@ -198,6 +198,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """
     if least < GRAM + WINDOW - 1 or least > RIGHT:
         raise ValueError(f"least: {GRAM + WINDOW - 1} to {RIGHT}")
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), node_of(text_col).alias("node"), text_of(text_col).alias("text"))
     signed = rows.select("node", "text").mapInArrow(_anchors(), "node binary, words bigint, grams array<bigint>, places array<bigint>")
     one = cut(signed.groupBy("node").agg(F.first("words").alias("words"), F.first("grams").alias("grams"), F.first("places").alias("places")), "minimisers")

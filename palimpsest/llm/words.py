@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are worked on at a time.
-BYTES = 4 << 20
+BYTES = 2 << 20
 
 
 def parts(batch: pa.RecordBatch, *texts: int) -> Iterator[pa.RecordBatch]:
