@@ -84,6 +84,34 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op4_sql() -> str:
+    """Matches are placed by the lengths of what lies between them, rule by rule."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    parts = [
+        f"""SELECT doc_id, {k} AS o, '{r.kind}' AS kind, regexp_extract_all(t, {quoted(r.pattern)}) AS m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS v,
+  string_split_regex(t, {quoted(r.pattern)}) AS g, {r.least} AS least FROM d WHERE regexp_matches(t, {quoted(r.pattern)})"""
+        for k, r in enumerate(secrets.RULES)
+    ]
+    base = len(secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE o = {k}) AS n_{r.kind}" for k, r in enumerate(secrets.BASE))
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\nfound AS ("
+        + "\nUNION ALL ".join(parts)
+        + f"""),
+each AS (SELECT doc_id, o, kind, m, v, g, least, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (
+  SELECT doc_id, o, kind, CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS a, length(m[i]) AS n
+  FROM each WHERE length(v[i]) >= least),
+sums AS (
+  SELECT doc_id, {counts},
+    coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) FILTER (WHERE o < {base}), '') AS base,
+    string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums USING (doc_id)"""
+    )
+
+
 def tempered_weights(docs: DataFrame, power: float = 0.5) -> DataFrame:
     """Target weights (source, weight): each source's number of rows to ``power``."""
     return docs.groupBy("source").agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
@@ -166,4 +194,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_itq": op10_itq,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_secret_scan": _op4_sql(), "op8_mix_sources": OP8_SQL}
