@@ -5,6 +5,8 @@ Keys and values leave as text, lengths or hex, so that both engines agree on typ
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -403,6 +405,32 @@ def kv_verify(spark, sf_dir):
     return maintenance.verify(d["refs"], d["objects"], d["counts"], d["candidates"])
 
 
+@query(BLOCKS + """, own AS (SELECT object_id, raw_len + CASE WHEN object_id % 101 = 0 THEN 1 ELSE 0 END AS raw_len FROM objects)
+SELECT object_id, CAST(min(stop - begin) AS BIGINT) AS least, CAST(max(stop - begin) AS BIGINT) AS most, CAST(any_value(raw_len) AS BIGINT) AS raw_len
+FROM refs JOIN own USING (object_id) GROUP BY object_id HAVING min(stop - begin) <> max(stop - begin) OR min(stop - begin) <> any_value(raw_len)""")
+def kv_length_conflicts(spark, sf_dir):
+    """Objects whose own length (planted: one more where the id % 101 is 0) is not the one that references say."""
+    refs, objects = fixtures.block_store(spark, sf_dir)
+    objects = objects.withColumn("raw_len", F.col("raw_len") + (F.col("object_id") % 101 == 0).cast("int"))
+    return maintenance.length_conflicts(refs, objects).select("object_id", *long("least", "most", "raw_len"))
+
+
+@query("""SELECT DISTINCT page_id % 9 AS param_id, CASE WHEN page_id % 2 = 0 THEN 'template' ELSE 'zstd_dict' END AS kind FROM pages
+WHERE page_id % 9 > 0 AND NOT (page_id % 9 <= 4 AND page_id % 2 = 1)""")
+def kv_missing_params(spark, sf_dir):
+    """Parameters that units need, where dictionaries 1 to 4 are all there is."""
+    page = F.col("page_id")
+    units = fixtures.table(spark, sf_dir, "pages").select((page % 9).alias("aux_id"), F.when(page % 2 == 0, "template").otherwise("zstd_dict").alias("codec"))
+    there = spark.range(1, 5).select(F.col("id").alias("param_id"), F.lit("zstd_dict").alias("kind"))
+    return maintenance.missing_params(units, there)
+
+
+@query("SELECT DISTINCT page_id AS source_id FROM pages WHERE page_id % 5 = 0")
+def kv_dangling_sources(spark, sf_dir):
+    rows = fixtures.table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"))
+    return maintenance.dangling_sources(rows, rows.where("source_id % 5 <> 0"))
+
+
 @query(OPS + """SELECT count(*) FILTER (WHERE kind <> 'tombstone') AS records, count(*) FILTER (WHERE kind = 'tombstone') AS tombstones,
   CAST(coalesce(sum(octet_length(encode(value))), 0) AS BIGINT) AS logical_bytes FROM ranked WHERE rn = 1""")
 def kv_stats(spark, sf_dir):
@@ -593,3 +621,28 @@ def kv_generated(spark, sf_dir):
 def kv_import_sources(spark, sf_dir):
     """One source per location: the lowest id that it was registered with."""
     return fixtures.table(spark, sf_dir, "pages").groupBy(F.col("url").alias("location")).agg(F.min("page_id").alias("source_id"))
+
+
+@query(OPS + "SELECT key, value FROM cur")
+def kv_stream_current_state(spark, sf_dir):
+    """The events as a stream of files into a store, then its current state."""
+    from .store import Store
+    from ..streaming.ingest import commit_stream
+
+    fixtures.table(spark, sf_dir, "events")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    key = F.concat(F.lit("user/"), F.lpad(F.col("user_id").cast("string"), 8, "0"))
+    ops = rows.select(F.col("event_id").alias("ord"), F.encode(key, "UTF-8").alias("key"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.encode("props", "UTF-8").alias("value"))
+    place = scratch(spark)
+    store = Store(spark, f"{place}/store")
+    commit_stream(ops, store, f"{place}/checkpoint").awaitTermination()
+    return store.scan().select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see; a temporary one in local mode without spark.checkpoint.dir."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="palimpsest-")
