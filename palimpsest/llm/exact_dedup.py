@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FILTER_BITS, cut, fresh, may_contain, text_of
+from .shared import FILTER_BITS, cannot_contain, cut, fresh, may_contain, text_of
 
 #: Runs of the ASCII white space that normalisation replaces by one space.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -116,13 +116,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with all columns; of rows that repeat an id and a text, one stays."""
     key, sha = fresh(docs, "gone_id"), fresh(docs, "gone_sha")
     found = cut(exact_dedup(docs, id_col, text_col), "classes")
-    same = lambda side: docs_[id_col].eqNullSafe(side[key]) & (docs_[sha] == side["text_sha256"])
-    docs_ = docs.withColumn(sha, F.sha2(normalised(text_col), 256))
-    twice = found.where("kept").groupBy(F.col(id_col).alias(key), "text_sha256").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = found.where("not kept").select(F.col(id_col).alias(key), "text_sha256").distinct()
-    twice, gone = cut(twice, "twice"), cut(gone, "dropped")
-    out = docs_.join(gone, same(gone), "left_anti")
-    if twice.isEmpty():
-        return out.drop(sha)
-    first = out.join(twice, same(twice), "left_semi").dropDuplicates([id_col, sha])
-    return out.join(twice, same(twice), "left_anti").unionByName(first).drop(sha)
+    same = lambda rows, side: rows[id_col].eqNullSafe(side[key]) & (rows[sha] == side["text_sha256"])
+    kept, once = found.where("kept").groupBy(F.col(id_col).alias(key), "text_sha256"), F.count("*").alias("n")
+    twice = cut(kept.agg(once).where("n > 1").drop("n"), "twice")
+    gone = cut(found.where("not kept").select(F.col(id_col).alias(key), "text_sha256").distinct(), "dropped")
+    asked = cut(gone.select(key).union(twice.select(key)).distinct(), "asked")
+    # texts whose id is not among those asked about stay where they are
+    clear = cannot_contain(docs, id_col, asked, key)
+    rest = may_contain(docs, id_col, asked, key).withColumn(sha, F.sha2(normalised(text_col), 256))
+    rest = rest.join(gone, same(rest, gone), "left_anti")
+    if not twice.isEmpty():
+        first = rest.join(twice, same(rest, twice), "left_semi").dropDuplicates([id_col, sha])
+        rest = rest.join(twice, same(rest, twice), "left_anti").unionByName(first)
+    return clear.unionByName(rest.drop(sha))
