@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut
+from .shared import bounded_batches, connected_components, cut
 
 #: Least cosine of a link.
 ALIKE = 0.93
@@ -198,6 +198,7 @@ def near_vectors(
     n_links counts the other rows that are linked directly; component_id is the smallest id that links
     reach. No rows give no rows.
     """
+    bounded_batches(vectors.sparkSession)
     v = F.col("v")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: White space that Arrow and the tokenizers may see differently: texts with it are encoded in one go.
 ODD = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
 #: Bytes of text whose words are encoded together, and words in one call.
@@ -251,6 +253,7 @@ def pack(
         if pieces := packer.pack(True):
             yield give(pieces)
 
+    bounded_batches(docs.sparkSession, 32)  # words are encoded once per batch
     rows = docs.select(F.col(id_col), F.col(text_col))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

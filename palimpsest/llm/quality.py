@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: At most this many labelled rows fit a model: those with the smallest hash of their id.
 SAMPLE = 20_000
 #: Bins per feature, depth, trees, step, leaf penalty and least hessian in a leaf.
@@ -128,6 +130,7 @@ def _mapped(docs: DataFrame, text_col: str, model: Trees | None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bounded_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name != text_col]
     kind = StructType([*kept, *StructType.fromDDL("score double" if model else "features array<double>")])
     schema, place = to_arrow_schema(kind), docs.columns.index(text_col)
@@ -173,6 +176,7 @@ def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, with all columns."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

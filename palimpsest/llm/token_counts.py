@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: The pattern of pre-tokens that goes with byte-level rank files, as a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens in a leaf; a leaf that has grown to GROWN times as many makes the tree anew.
@@ -167,6 +169,7 @@ def _mapped(rows: DataFrame, text_col: str, more: str, work) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bounded_batches(rows.sparkSession)
     place = rows.columns.index(text_col)
     kind = StructType([*rows.schema[:place], *StructType.fromDDL(more)])
     schema = to_arrow_schema(kind)
