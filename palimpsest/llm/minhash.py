@@ -8,10 +8,10 @@ Processes stop as soon as they are later than the latest component, so that the
 weights. Two signatures agree in a component with probability (sum of minima) / (sum of maxima).
 
 Bands of the signature give buckets. In each bucket the members are compared with a few leaders by the
-true overlap of their bags; of those that are like no leader some become the next leaders, twice as many
-in each round, and the triangle inequality of the distance tells which others they can still be like. So
-the links found connect all that comparing all pairs of a bucket would connect, and a bucket of copies
-takes pairs in proportion to its members.
+true overlap of their bags, more in each round, but only while members and leader are not known to be of
+one component. So the links found connect all that comparing all pairs of a bucket would connect,
+and a bucket of copies takes pairs in proportion to its members. Pairs whose four-bit sketches differ more
+than those of a pair at the limit ever do are not verified.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut, fresh, may_contain, text_of
+from .shared import bounded_batches, cannot_contain, connected_components, cut, fresh, may_contain, text_of
 from .words import hashed, mix, parts, rolling
 
 #: Words in a shingle, and the least similarity of a link.
 WIDTH, ALIKE = 5, 0.8
-#: Signatures of BANDS * ROWS components: a pair at ALIKE shares a bucket with probability 0.9993.
-BANDS, ROWS = 24, 6
+#: Signatures of BANDS * ROWS components: a pair at ALIKE shares a bucket with probability 0.9993, one at 0.5 with 0.14.
+BANDS, ROWS = 40, 8
+#: BANDS * ROWS must be a multiple of 16.
+#: Leaders of a bucket in the first rounds, taken from the members that share most buckets with others, whatever their component.
+LEADERS = (2, 16)
 _HASH_BITS = 50
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,8 +106,30 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each component, 16 components in a number."""
+    bits = (mix(np.ascontiguousarray(signature).view(np.uint64)) & np.uint64(15)).reshape(len(signature), -1, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def differing(a: F.Column, b: F.Column, numbers: int) -> F.Column:
+    """In how many components two sketches (arrays) differ."""
+    out = F.lit(0)
+    for k in range(numbers):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        out = out + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+def most_differing(alike: float, size: int) -> int:
+    """Components in which the sketches of a pair that is just alike differ at most, but for a chance of 3 in 100,000."""
+    p = 15 / 16 * (1 - alike)
+    return int(size * p + 4 * (size * p * (1 - p)) ** 0.5)
+
+
 def _sign(bands: int, rows: int, width: int):
-    kind = pa.schema([("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    kind = pa.schema([("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +137,13 @@ def _sign(bands: int, rows: int, width: int):
                 for k in range(0, len(part), 1 << 14):
                     own = part.slice(k, 1 << 14)
                     text, shingle, weight = bags(own.column(1), width)
-                    keys = band_keys(signatures(text, shingle, weight, len(own), bands * rows), bands, rows)
+                    signature = signatures(text, shingle, weight, len(own), bands * rows)
                     some = np.bincount(text, minlength=len(own)) > 0
-                    offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
-                    yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.binary()), lists], schema=kind)
+                    lists = []
+                    for x in (band_keys(signature, bands, rows), sketches(signature)):
+                        offsets = np.concatenate([[0], np.cumsum(some * x.shape[1])]).astype(np.int32)
+                        lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[some].ravel())))
+                    yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.binary()), *lists], schema=kind)
 
     return run
 
@@ -151,39 +178,63 @@ def nodes(text_col: str) -> F.Column:
     return F.substring(F.unhex(F.sha2(norm, 256)), 1, 16)
 
 
-def links(docs: DataFrame, text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """(a, b) of nodes: links of verified similarity that connect what the links of all pairs sharing a bucket connect."""
+def classes(docs: DataFrame, text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """(node, root) of linked nodes: the components of all verified links between nodes that share a bucket.
+
+    In each round a bucket's leaders are compared with its members of other components, and leave. Links
+    within a component would change nothing, so that a bucket is done once it is known to hold one.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows_ = docs.select(nodes(text_col).alias("node"), text_of(text_col).alias("text"))
-    signed = rows_.mapInArrow(_sign(bands, rows, width), "node binary, bands array<bigint>")
-    one = cut(signed.groupBy("node").agg(F.first("bands").alias("bands")), "signed")
+    signed = rows_.mapInArrow(_sign(bands, rows, width), "node binary, bands array<bigint>, sketch array<bigint>")
+    one = cut(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "signed")
     member = one.select("node", F.posexplode("bands").alias("band", "key"))
-    many = member.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    active = cut(member.join(many, ["band", "key"]).withColumn("open", F.lit(True)), "buckets")
-    asked = cut(active.select("node").distinct(), "asked")
+    bucket = ["band", "key"]
+    many = member.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    active = cut(member.join(many, bucket), "buckets")
+    # the text that others were made from shares more buckets with them than they do with each other: such texts lead
+    asked = cut(active.groupBy("node").agg(F.sum("n").alias("met")).join(one.select("node", "sketch"), "node"), "asked")
+    active = active.join(asked, "node").select(*bucket, "node", "met", "sketch")
+    most = most_differing(alike, bands * rows)
     texts = may_contain(rows_, "node", asked, "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = cut(texts.join(asked, "node", "left_semi"), "texts")
-    bucket, by_node = ["band", "key"], ["band", "key", "node"]
-    known, leaders = docs.sparkSession.createDataFrame([], "a binary, b binary, alike double"), 2
+    known, turn = spark.createDataFrame([], "a binary, b binary, alike double"), 0
+    roots = asked.select("node", F.col("node").alias("root"))
     while True:
-        first = F.row_number().over(Window.partitionBy(*bucket).orderBy("node"))
-        lead = active.where("open").select(*by_node, first.alias("n")).where(F.col("n") <= leaders)
-        lead = lead.groupBy(*bucket).agg(F.collect_list("node").alias("leads"))
-        rest = active.join(lead, bucket).withColumn("leads_", F.expr("array_contains(leads, node)")).withColumn("lead", F.explode("leads")).drop("leads")
-        rest = cut(rest.where("node <> lead and (node > lead or not leads_)"), "rest")
-        if rest.isEmpty():
-            break
-        pairs = rest.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+        now = cut(active.join(roots, "node").select(*bucket, "node", "met", "sketch", "root"), "now")
+        sizes = now.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
+        main = sizes.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        # the first leaders come from anywhere, the later ones from all components but the largest: few compare with many, not many with few
+        leaders, central = LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] * 8, turn < len(LEADERS)
+        may = now.join(main, bucket).where(F.lit(central) | (F.col("root") != F.col("main")))
+        first = F.row_number().over(Window.partitionBy(*bucket).orderBy(F.desc("met"), "node"))
+        lead = may.select(*bucket, "node", "root", "sketch", first.alias("n")).where(F.col("n") <= leaders)
+        lead = cut(lead.groupBy(*bucket).agg(F.collect_list(F.struct("node", "root", "sketch")).alias("leads")), "leads")
+        if lead.isEmpty():
+            return cut(connected_components(known.where(F.col("alike") >= alike).select("a", "b")).toDF("node", "root"), "components")
+        met = now.join(lead, bucket).withColumn("leads_", F.exists("leads", lambda x: x["node"] == F.col("node")))
+        may_link = lambda x: differing(x["sketch"], F.col("sketch"), bands * rows // 16) <= most
+        other = F.filter("leads", lambda x: (x["root"] != F.col("root")) & (~F.col("leads_") | (F.col("node") > x["node"])) & may_link(x))
+        other = F.transform(other, lambda x: x["node"])
+        each = met.select("node", other.alias("b")).where(F.size("b") > 0)  # a pair meets in many buckets, and is taken once
+        each = each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b"))
+        pairs = each.select(F.col("node").alias("a"), F.explode("b").alias("b"))
+        pairs = pairs.join(known, ["a", "b"], "left_anti")
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        known = known.union(cut(both.mapInArrow(_verify(width), "a binary, b binary, alike double"), "known"))
-        seen = rest.where("not leads_").drop("leads_").join(known.toDF("node", "lead", "alike"), ["node", "lead"])
-        still = seen.groupBy(*by_node).agg((F.bool_and("open") & (F.max("alike") < alike)).alias("open"))
-        seen = cut(seen.drop("open").join(still, by_node), "seen")
-        left = seen.where("open").groupBy(*bucket, "lead").agg(F.min("alike").alias("low"), F.max("alike").alias("high"))
-        near = F.col("alike").between(F.col("low") - (1 - alike) - 1e-9, F.col("high") + (1 - alike) + 1e-9)
-        after = seen.join(left, [*bucket, "lead"]).groupBy(*by_node).agg(F.bool_and("open").alias("open"), F.bool_and(near).alias("near"))
-        active = cut(after.where("open or near").drop("near"), "buckets")
-        leaders *= 2
-    return known.where(F.col("alike") >= alike).select("a", "b")
+        found = cut(both.mapInArrow(_verify(width), "a binary, b binary, alike double"), "known")
+        known = known.union(found)
+        roots = cut(_hooked(roots, found.where(F.col("alike") >= alike).select("a", "b")), "roots")
+        active, turn = met.where("not leads_").select(*bucket, "node", "met", "sketch"), turn + 1
+
+
+def _hooked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after one step of merging along the links: nodes of a component may still differ, those of two never agree."""
+    ends = links.join(roots.toDF("a", "u"), "a").join(roots.toDF("b", "v"), "b").where("u <> v").select("u", "v").distinct()
+    both = ends.union(ends.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    hook = both.join(least, "u").groupBy("v").agg(F.min("m").alias("m")).select(F.col("v").alias("root"), F.least("v", "m").alias("to"))
+    return roots.join(hook, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
 
 def near_dedup(
@@ -198,10 +249,10 @@ def near_dedup(
     null ids alone has a null class_id and keeps all. No rows give no rows.
     """
     row = cut(docs.select(F.col(id_col).alias("id"), nodes(text_col).alias("node")), "nodes")
-    roots = connected_components(links(docs, text_col, alike, bands, rows, width)).toDF("node", "root")
+    roots = classes(docs, text_col, alike, bands, rows, width)
     row = cut(row.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")), "roots")
-    classes = cut(row.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    out = row.join(classes, "root")
+    summed = cut(row.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    out = row.join(summed, "root")
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
@@ -209,4 +260,6 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The rows of ``docs`` whose documents are kept, with all columns; ids that are null stay."""
     key = fresh(docs, "gone_id")
     gone = near_dedup(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias(key)).distinct()
-    return docs.join(cut(gone, "gone"), docs[id_col] == F.col(key), "left_anti")
+    gone = cut(gone, "gone")
+    clear, rest = cannot_contain(docs, id_col, gone, key), may_contain(docs, id_col, gone, key)
+    return clear.unionByName(rest.join(gone, rest[id_col] == F.col(key), "left_anti"))
