@@ -145,9 +145,21 @@ def trigrams(query) -> set[str]:
 def build_index(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (gram: place in ``vocabulary``, doc) of the trigrams in each lower-case text, sorted within each segment."""
     lower = docs.select(F.col(id_col).alias("doc"), F.lower(text_of(text_col)).alias("lower"))
-    has = F.array(*[F.when(F.contains("lower", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary)])
-    found = lower.select("doc", F.array_compact(has).alias("grams"))
-    return found.select("doc", F.explode("grams").alias("gram")).sortWithinPartitions("gram", "doc")
+    found = F.array_distinct(F.regexp_extract_all("lower", F.lit(_anywhere(vocabulary)), F.lit(1)))
+    place = F.create_map(*[F.lit(x) for i, t in enumerate(vocabulary) for x in (t, i)])
+    grams = lower.select("doc", F.explode(found).alias("gram"))
+    return grams.select(F.element_at(place, F.col("gram")).alias("gram"), "doc").sortWithinPartitions("gram", "doc")
+
+
+def _anywhere(vocabulary: list[str]) -> str:
+    """An expression that finds every trigram of the vocabulary in one pass, overlapping ones too, branching once per letter."""
+    quote = lambda c: "\\" + c if not (c.isalnum() or ord(c) > 127) else c
+    tree: dict[str, dict[str, str]] = {}
+    for a, b, c in vocabulary:
+        tree.setdefault(a, {}).setdefault(b, "")
+        tree[a][b] += c
+    second = lambda t: "|".join(quote(b) + "[" + "".join(map(quote, cs)) + "]" for b, cs in t.items())
+    return "(?=(" + "|".join(f"{quote(a)}(?:{second(t)})" for a, t in tree.items()) + "))"
 
 
 def candidates(index: DataFrame, vocabulary: list[str], queries: list) -> DataFrame:
