@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,6 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.sentence_end = self._marked(vocab, r"[.!?][\"')\]]*</w>$")
         self.word_end = self._marked(vocab, "</w>$")
-        self.after: dict[str, list[int]] = {}
 
     @staticmethod
     def _marked(vocab: dict[str, int], pattern: str) -> np.ndarray:
@@ -63,40 +63,46 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[np.ndarray]:
+    def _flat(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each)."""
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of words of letters alone, many per call: each ends at its first token that ends a word."""
-        out: list[np.ndarray] = []
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for k in range(0, len(words), WORDS):
             own = words[k : k + WORDS]
             ids = np.array(self._whole([" ".join(own)])[0], np.uint32)
             ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(own):
-                out += np.split(ids, ends[:-1])
-            else:  # a letter became several when lower-cased
-                out += [np.array(x, np.uint32) for x in self._whole(own)]
-        return out
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        stems, tails, odd = [], [], {}
-        for k, w in enumerate(words):
-            stem = w if w.isalpha() else w.rstrip(AFTER)
-            if not stem.isalpha():
-                odd[k] = w
-                stem = ""
-            stems.append(stem)
-            tails.append(w[len(stem) :] if stem else "")
-        known = dict.fromkeys(stems)
-        known.pop("", None)
-        ids = dict(zip(known, self._letters(list(known))))
-        for t in set(tails) - self.after.keys():
-            self.after[t] = np.array(self._whole([t])[0], np.uint32)
-        empty = np.zeros(0, np.uint32)
-        out = [ids.get(s, empty) if not t else np.concatenate([ids[s], self.after[t]]) for s, t in zip(stems, tails)]
-        for k, one in zip(odd, self._whole(list(odd.values()))):
-            out[k] = np.array(one, np.uint32)
-        if len(self.after) > 10_000:
-            self.after.clear()
-        return out
+            size = np.diff(ends, prepend=0)
+            if len(ends) != len(own):  # a letter became several when lower-cased
+                ids, size = self._flat(self._whole(own))
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, sizes): each word is two stretches of ids, its letters and the marks after them."""
+        stems = pc.utf8_rtrim(words, AFTER)
+        plain = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
+        coded = stems.filter(pa.array(plain)).dictionary_encode()
+        letters, letter_sizes = self._letters(coded.dictionary.to_pylist())
+        odd, odd_sizes = self._flat(self._whole(words.filter(pa.array(~plain)).to_pylist()))
+        length = lambda a: pc.utf8_length(a).to_numpy(zero_copy_only=False)
+        kept = length(stems)
+        tailed = np.flatnonzero(plain & (length(words) > kept))
+        tails = [w[n:] for w, n in zip(words.take(pa.array(tailed)).to_pylist(), kept[tailed].tolist())]
+        known = {t: k for k, t in enumerate(dict.fromkeys(tails))}
+        marks, mark_sizes = self._flat(self._whole(list(known)))
+        begins, sizes = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        at = lambda s: np.cumsum(s) - s
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        begins[plain, 0], sizes[plain, 0] = at(letter_sizes)[index], letter_sizes[index]
+        begins[~plain, 0], sizes[~plain, 0] = at(odd_sizes) + len(letters), odd_sizes
+        index = np.fromiter(map(known.__getitem__, tails), np.int64, len(tails))
+        begins[tailed, 1], sizes[tailed, 1] = at(mark_sizes)[index] + len(letters) + len(odd), mark_sizes[index]
+        return np.concatenate([letters, odd, marks]), begins, sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
@@ -105,15 +111,12 @@ class Encoder:
         words = pc.utf8_split_whitespace(texts)
         offsets = words.offsets.to_numpy()
         coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        each = self._words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        begins = np.cumsum(sizes) - sizes
-        flat = np.concatenate([*each, np.zeros(0, np.uint32)])
+        flat, begins, sizes = self._words(coded.dictionary)
         index = coded.indices.to_numpy()
-        size = sizes[index]
+        size = sizes[index].ravel()
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(begins[index] - upto[:-1], size) + np.arange(upto[-1])]
-        out = np.split(ids, upto[offsets[1:-1] - offsets[0]]) if len(texts) else []
+        ids = flat[np.repeat(begins[index].ravel() - upto[:-1], size) + np.arange(upto[-1])]
+        out = np.split(ids, upto[2 * (offsets[1:-1] - offsets[0])]) if len(texts) else []
         for k in odd.tolist():
             out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
