@@ -6,6 +6,11 @@ Suffixes whose first run occurs in one text only can't repeat and are left out;
 around them, are sorted as a suffix array by range partitioning, and each is compared with its neighbours
 of other texts, before and after it, and extended to the left and to the right. Texts that are
 copies of each other are one text in the array.
+
+A neighbour has the longest common right part, not the longest left and right one together: where a passage
+ends in words that many texts hold without its head, its partner may be any number of rows away. So the
+windows of the least length at kept minimisers are grouped by their hash, too, and those of two documents
+or more are marked, wherever they stand in the array.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ LEFT, RIGHT = 32, 50
 ROWS = 20_000
 
 
-def minimisers(hashes: np.ndarray, offsets: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(places in ``hashes``, hashes of the runs there) of all texts' minimisers; ``window`` is a power of two, 32 at most.
+def picked(hashes: np.ndarray, offsets: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each window of ``window`` runs begins, the place of its minimiser, hashes of all runs); ``window`` is a power of two, 32 at most.
 
     Among equal runs, as in a text that repeats one word, the one at a multiple of 32 is smallest, so
     that such texts don't keep all their places.
@@ -38,7 +43,7 @@ def minimisers(hashes: np.ndarray, offsets: np.ndarray, gram: int = GRAM, window
     n = np.diff(offsets)
     runs = rolling(hashes, gram)
     if len(runs) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), runs
     begin = np.repeat(offsets[:-1], n)
     place = (np.arange(len(hashes)) - begin)[: len(runs)].astype(np.uint64)
     low = ((place & np.uint64(31)) << np.uint64(15)) | ((place >> np.uint64(5)) & np.uint64(0x7FFF))
@@ -51,7 +56,13 @@ def minimisers(hashes: np.ndarray, offsets: np.ndarray, gram: int = GRAM, window
     low = key[inside] & np.uint64(0xFFFFF)
     mod = (((low & np.uint64(0x7FFF)) << np.uint64(5)) | (low >> np.uint64(15))).astype(np.int64)
     ahead = (mod - place[inside].astype(np.int64)) & 0xFFFFF
-    at = np.unique(inside + ahead)
+    return inside, inside + ahead, runs
+
+
+def minimisers(hashes: np.ndarray, offsets: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``hashes``, hashes of the runs there) of all texts' minimisers."""
+    _, at, runs = picked(hashes, offsets, gram, window)
+    at = np.unique(at)
     return at, runs[at]
 
 
@@ -184,6 +195,52 @@ def _neighbours(least: int, edges: bool):
     return run
 
 
+WINDOWS = "hash bigint, node binary, place bigint, low bigint, high bigint"
+_WINDOWS = pa.schema([("hash", pa.int64()), ("node", pa.binary()), ("place", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+
+def _windows(least: int):
+    """Of rows (node, text, places, low, high): the windows of ``least`` words whose first and last minimisers are among the places."""
+    last = least - (GRAM + WINDOW - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 1):
+                words, offsets = hashed(part.column(1))
+                start, at, _ = picked(words, offsets)
+                lists = part.column(2)
+                shared, good = np.zeros(len(words), bool), np.zeros(len(words) + last, bool)
+                shared[np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()] = True
+                good[start[shared[at]]] = True
+                begin = np.flatnonzero(good[: len(words)] & good[last:])
+                text = np.searchsorted(offsets, begin, "right") - 1
+                inside = begin + least <= offsets[text + 1]
+                begin, text = begin[inside], text[inside]
+                hashes = rolling(words, least).view(np.int64)[begin]
+                for k in range(0, len(begin), ROWS):
+                    b, t = begin[k : k + ROWS], pa.array(text[k : k + ROWS])
+                    who = [part.column(c).take(t) for c in (3, 4)]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + ROWS]), part.column(0).take(t).cast(pa.binary()), pa.array(b - offsets[text[k : k + ROWS]]), *who], schema=_WINDOWS)
+
+    return run
+
+
+def _repeated(held: DataFrame, owners: DataFrame, ids: DataFrame, least: int) -> DataFrame:
+    """Spans (node, begin, stop, other_id, other_high) of the windows that stand in two documents or more, of texts of one document.
+
+    Documents are told apart by hashes of their ids: ``low`` and ``high`` are the least and the largest of a text's documents.
+    """
+    windows = held.join(owners, "node").select("node", "text", "places", "low", "high").mapInArrow(_windows(least), WINDOWS)
+    windows = cut(windows, "windows")
+    twice = windows.groupBy("hash").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
+    other = F.when(F.col("least") != F.col("low"), F.col("least")).otherwise(F.col("most"))
+    marked = windows.where("low = high").join(cut(twice, "twice"), "hash")
+    marked = marked.select("node", F.col("place").alias("begin"), (F.col("place") + least).alias("stop"), other.alias("other_id"), other.alias("other_high"))
+    named = ids.select(F.xxhash64("id").alias("who"), F.col("id").alias("other")).distinct()
+    spans = islands(marked).join(named, F.col("other_id") == F.col("who"))
+    return spans.select("node", "begin", "stop", F.col("other").alias("other_id"), F.col("other").alias("other_high"))
+
+
 def node_of(text_col: str) -> Column:
     return F.substring(F.unhex(F.sha2(text_of(text_col), 256)), 1, 16)
 
@@ -191,7 +248,7 @@ def node_of(text_col: str) -> Column:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Passages of at least ``least`` words that stand in another document, too: id, begin_word, stop_word, n_words, other_id.
 
-    Words are what stands between white space, compared by 32-bit hashes, ``least`` or more in a row; stop
+    Words are what stands between white space, compared by hashes, ``least`` or more in a row; stop
     is exclusive; overlapping passages of a text are one. ``other_id`` is a document that shares a part of it.
     Documents without such a passage have no row; a passage repeated within one document alone isn't one.
     Rows that repeat an id and a text are one document. Null texts are empty. Null ids are one document's.
@@ -207,7 +264,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     asked = anchor.join(cut(shared, "grams"), "gram", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("place")).alias("places"))
     asked = cut(asked, "asked")
     texts = may_contain(rows.select("node", "text"), "node", asked, "node").groupBy("node").agg(F.first("text").alias("text"))
-    suffixes = texts.join(asked, "node").select("node", "text", "places").mapInArrow(_suffixes(), SUFFIX)
+    held = cut(texts.join(asked, "node").select("node", "text", "places"), "held")
+    suffixes = held.mapInArrow(_suffixes(), SUFFIX)
     order = ["after", "before", "node", "place"]  # of equal suffixes, those with the most words before in common are neighbours
     sorted_ = cut(suffixes, "suffixes").repartitionByRange("after", "before", "node").sortWithinPartitions(*order)
     found = cut(sorted_.mapInArrow(_neighbours(least, True), FOUND), "found")
@@ -220,7 +278,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     copies = cut(copies.join(one.select("node", "words"), "node"), "copies")
     whole = copies.where((F.col("n") > 1) & (F.col("words") >= least)).select("node", "words", "low", "high")
     joined = spans.join(copies.select(F.col("node").alias("other"), F.col("low").alias("other_id"), F.col("high").alias("other_high")), "other")
-    merged = islands(joined.drop("other").join(whole.select("node"), "node", "left_anti"))
+    owners = ids.groupBy("node").agg(F.min(F.xxhash64("id")).alias("low"), F.max(F.xxhash64("id")).alias("high"))
+    joined = joined.drop("other").unionByName(cut(_repeated(held, owners, ids, least), "repeated"))
+    merged = islands(joined.join(whole.select("node"), "node", "left_anti"))
     parts_ = ids.join(merged, "node").withColumn("other_id", F.when(F.col("id").eqNullSafe(F.col("other_id")), F.col("other_high")).otherwise(F.col("other_id")))
     parts_ = parts_.where(~F.col("id").eqNullSafe(F.col("other_id"))).select("id", "begin", "stop", "other_id")
     all_ = ids.join(whole, "node").select("id", F.lit(0).cast("long").alias("begin"), F.col("words").alias("stop"), F.when(F.col("id").eqNullSafe(F.col("low")), F.col("high")).otherwise(F.col("low")).alias("other_id"))

@@ -121,6 +121,26 @@ def test_repeats_are_those_of_all_windows(spark):
         suffix_dedup.repeats(docs, least=20)
 
 
+def test_repeats_with_a_frequent_shared_tail(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    some = lambda n: [word() for _ in range(n)]
+    texts, want = [], {}
+    for _ in range(12):
+        head, tail = some(10), some(45)
+        for k in range(24):
+            before = some(60)
+            if k % 12 == 5:  # two texts with the head, 22 with the tail alone
+                want[len(texts)] = [(60, 115)]
+                before += head
+            texts.append(" ".join(before + tail + some(60)))
+    got = defaultdict(list)
+    for r in suffix_dedup.repeats(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect():
+        assert abs(r.other_id - r.doc_id) == 12
+        got[r.doc_id].append((r.begin_word, r.stop_word))
+    assert got == want
+
+
 def test_near_vectors_finds_the_links_of_all_pairs(spark):
     rng = np.random.default_rng(7)
     centre = rng.normal(size=(60, 64))
