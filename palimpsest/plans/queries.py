@@ -159,6 +159,19 @@ def kv_cas_chain(spark, sf_dir):
     return writes.fold(ops, spark.createDataFrame([], "key string, revision long")).select("ord", "key", "status")
 
 
+@query()
+def kv_cas_chain_whole(spark, sf_dir):
+    """All mutations of a key as puts: the first expects an absent key, each other one the put before it, every fifth a revision that isn't there.
+
+    A put after one that conflicted conflicts, too, until every seventh, which expects nothing, starts the chain anew.
+    """
+    by = Window.partitionBy("key").orderBy("ord")
+    ops = fixtures.mutations(spark, sf_dir).withColumn("before", F.lag("ord").over(by))
+    expect = F.when(F.col("before").isNull(), "absent").when(F.col("ord") % 7 == 0, "any").otherwise("revision")
+    ops = ops.select("ord", "key", F.lit("put").alias("op"), "value", expect.alias("expect"), F.lit(-1).cast("long").alias("expect_revision"), F.when(F.col("ord") % 5 != 0, F.col("before")).alias("expect_ord"))
+    return writes.fold(ops, spark.createDataFrame([], "key string, revision long")).select("ord", "key", "status")
+
+
 @query(OPS + "SELECT m.ord, m.key, (SELECT max(l.revision) FROM log l WHERE l.key = m.key AND l.ord < m.ord) AS deleted_revision FROM marked m WHERE m.op = 'delete' AND m.before = 'put'")
 def kv_delete_result(spark, sf_dir):
     """What each delete that had an effect deleted."""

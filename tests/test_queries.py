@@ -31,6 +31,20 @@ def test_greedy_batches(spark, sf_dir):
         assert got[c, t] == batch
 
 
+def test_cas_chain_over_all_mutations(spark, sf_dir):
+    got = {r.ord: (r.key, r.status) for r in QUERIES["kv_cas_chain_whole"](spark, sf_dir).collect()}
+    held, before, want = {}, {}, {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id").collect()):
+        i, u = r
+        ok = u not in before or i % 7 == 0 or (i % 5 != 0 and held[u] == before[u])
+        want[i] = (f"user/{u:08d}", "ok" if ok else "conflict")
+        before[u] = i
+        if ok:
+            held[u] = i
+    assert got == want
+    assert len(want) > 2 * len(before) and {s for _, s in want.values()} == {"ok", "conflict"}
+
+
 def test_codecs_over_documents(spark, sf_dir):
     done = QUERIES["kv_codec_roundtrip"](spark, sf_dir).collect()
     assert done and all(r.units == r.exact and r.problems == 0 for r in done)
