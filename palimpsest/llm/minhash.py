@@ -248,18 +248,28 @@ def near_dedup(
     document: they count in class_size and share ``kept``. A null id is larger than any other; a class of
     null ids alone has a null class_id and keeps all. No rows give no rows.
     """
+    out = _judged(docs, id_col, text_col, (), alike, bands, rows, width)
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
+
+
+def _judged(
+    docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ...], alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH
+) -> DataFrame:
+    """One row per row of ``docs``: id, class_id, class_size, kept, and node if it is in ``more``."""
     row = cut(docs.select(F.col(id_col).alias("id"), nodes(text_col).alias("node")), "nodes")
     roots = classes(docs, text_col, alike, bands, rows, width)
-    row = cut(row.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")), "roots")
+    row = cut(row.join(roots, "node", "left").select("id", *more, F.coalesce("root", "node").alias("root")), "roots")
     summed = cut(row.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    out = row.join(summed, "root")
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return row.join(summed, "root").withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose documents are kept, with all columns; ids that are null stay."""
-    key = fresh(docs, "gone_id")
-    gone = near_dedup(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias(key)).distinct()
+    key, node = fresh(docs, "gone_id"), fresh(docs, "gone_node")
+    gone = _judged(docs, id_col, text_col, ("node",), **options).where("not kept").select(F.col("id").alias(key), F.col("node").alias(node)).distinct()
     gone = cut(gone, "gone")
     clear, rest = cannot_contain(docs, id_col, gone, key), may_contain(docs, id_col, gone, key)
-    return clear.unionByName(rest.join(gone, rest[id_col] == F.col(key), "left_anti"))
+    own = fresh(docs, "own_node")
+    rest = rest.withColumn(own, nodes(text_col))  # one id may stand on two texts, of which one stays
+    rest = rest.join(gone, (rest[id_col] == F.col(key)) & (rest[own] == F.col(node)), "left_anti")
+    return clear.unionByName(rest.drop(own))

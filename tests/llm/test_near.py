@@ -72,6 +72,13 @@ def test_near_dedup_classes_are_those_of_all_pairs(spark):
     assert minhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_drop_near_tells_texts_of_one_id_apart(spark):
+    near = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, near), (2, near + " x"), (2, "alone in the world with a second text"), (3, "of its own")]
+    left = minhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left)) == [rows[0], rows[2], rows[3]]
+
+
 def test_signatures_are_unbiased():
     texts = pa.array(["a b c d e " * 40 + " ".join(f"w{k}" for k in range(60)), "a b c d e " * 25 + " ".join(f"w{k}" for k in range(50))])
     text, shingle, weight = minhash.bags(texts)
