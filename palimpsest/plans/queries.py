@@ -575,6 +575,14 @@ def kv_wal_valid_prefix(spark, sf_dir):
     return commits.valid_prefix(wal(spark, sf_dir).where("lsn % 101 <> 50")).select("lsn", "op")
 
 
+@query(WAL.rstrip() + ", middle AS (SELECT max(lsn) // 2 AS gap FROM wal) SELECT lsn, op FROM wal WHERE lsn < (SELECT gap FROM middle)")
+def kv_wal_valid_prefix_half(spark, sf_dir):
+    """The records before a gap in the middle of the log, so that the prefix grows with it."""
+    rows = wal(spark, sf_dir)
+    gap = (rows.agg(F.max("lsn")).first()[0] or 0) // 2
+    return commits.valid_prefix(rows.where(F.col("lsn") != gap)).select("lsn", "op")
+
+
 @query("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 256 AS BIGINT) AS batch FROM events")
 def kv_batch_cuts(spark, sf_dir):
     return commits.equal_batches(fixtures.table(spark, sf_dir, "events").select("event_id"), "event_id", 256).select("event_id", *long("batch"))

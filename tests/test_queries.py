@@ -45,6 +45,11 @@ def test_cas_chain_over_all_mutations(spark, sf_dir):
     assert len(want) > 2 * len(before) and {s for _, s in want.values()} == {"ok", "conflict"}
 
 
+def test_valid_prefix_grows_with_the_log(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert QUERIES["kv_wal_valid_prefix_half"](spark, sf_dir).count() == n // 2 - 1 > 49
+
+
 def test_codecs_over_documents(spark, sf_dir):
     done = QUERIES["kv_codec_roundtrip"](spark, sf_dir).collect()
     assert done and all(r.units == r.exact and r.problems == 0 for r in done)
