@@ -486,7 +486,9 @@ def kv_entropy(spark, sf_dir):
 
 @query("SELECT i, 1000 + 7 * i AS value FROM range(0, 5000) t(i)")
 def kv_generate_arith(spark, sf_dir):
-    return spark.range(5000).select(F.col("id").alias("i"), (F.lit(1000) + 7 * F.col("id")).alias("value"))
+    """The values of the arithmetic generator, decoded from its bytes."""
+    made = generators.Registry().get(1).whole(generators.arith_params(1000, 7, 5000))
+    return spark.createDataFrame(list(enumerate(memoryview(made).cast("Q").tolist())), "i long, value long")
 
 
 SNOW = "WITH s AS (SELECT event_id, (1420070400000 + event_id * 977 - 1420070400000) * 4194304 + (event_id % 32) * 131072 + (event_id % 7) * 4096 + event_id % 4096 AS id FROM events)\n"
@@ -641,7 +643,10 @@ def kv_generated(spark, sf_dir):
 @query("SELECT url AS location, min(page_id) AS source_id FROM pages GROUP BY url")
 def kv_import_sources(spark, sf_dir):
     """One source per location: the lowest id that it was registered with."""
-    return fixtures.table(spark, sf_dir, "pages").groupBy(F.col("url").alias("location")).agg(F.min("page_id").alias("source_id"))
+    from .store import source_ids
+
+    rows = fixtures.table(spark, sf_dir, "pages").select(F.lit("url").alias("kind"), F.col("url").alias("location"), F.col("page_id").alias("source_id"))
+    return source_ids(rows).select("location", "source_id")
 
 
 @query(OPS + "SELECT key, value FROM cur")

@@ -390,7 +390,8 @@ class Store:
         """The id of (kind, location), registered now if it is new."""
         for _ in range(RETRIES):
             base = self._commit()
-            known = self.table("sources", base).where((F.col("kind") == kind) & (F.col("location") == location)).agg(F.min("source_id")).first()[0]
+            known = source_ids(self.table("sources", base).where((F.col("kind") == kind) & (F.col("location") == location))).first()
+            known = known and known.source_id
             if known is not None:
                 return known
             meta = dict(base["meta"])
@@ -425,6 +426,11 @@ class Store:
         return out
 
 
+def source_ids(rows: DataFrame) -> DataFrame:
+    """(kind, location, source_id): the lowest id that each source was registered with."""
+    return rows.groupBy("kind", "location").agg(F.min("source_id").alias("source_id"))
+
+
 def log_sources(rows: DataFrame) -> DataFrame:
     """The newest import of each source."""
     rest = [c for c in rows.columns if c != "source_id"]

@@ -2,6 +2,8 @@
 
 import pytest
 
+from palimpsest.functions import generators
+from palimpsest.plans import store
 from palimpsest.plans.queries import ORACLE_SQL, QUERIES
 
 from .oracle import assert_same, connect
@@ -50,6 +52,14 @@ def test_valid_prefix_grows_with_the_log(spark, sf_dir):
     assert QUERIES["kv_wal_valid_prefix_half"](spark, sf_dir).count() == n // 2 - 1 > 49
 
 
+def test_queries_call_the_operators_they_stand_for(spark, sf_dir, monkeypatch):
+    broken = generators.Generator("arith_u64", 1, 1, generators.BUILTIN[0].length, lambda p, offset, n: bytes(n))
+    monkeypatch.setattr(generators, "BUILTIN", (broken, *generators.BUILTIN[1:]))
+    assert {r.value for r in QUERIES["kv_generate_arith"](spark, sf_dir).collect()} == {0}
+    monkeypatch.setattr(store, "source_ids", lambda rows: rows.limit(0))
+    assert QUERIES["kv_import_sources"](spark, sf_dir).count() == 0
+
+
 def test_codecs_over_documents(spark, sf_dir):
     done = QUERIES["kv_codec_roundtrip"](spark, sf_dir).collect()
     assert done and all(r.units == r.exact and r.problems == 0 for r in done)
