@@ -7,11 +7,18 @@ its weight. A point falls on one component of the signature; the component keeps
 Processes stop as soon as they are later than the latest component, so that the cost hardly depends on
 weights. Two signatures agree in a component with probability (sum of minima) / (sum of maxima).
 
-Bands of the signature give buckets. In each bucket the members are compared with a few leaders by the
-true overlap of their bags, more in each round, but only while members and leader are not known to be of
-one component. So the links found connect all that comparing all pairs of a bucket would connect,
-and a bucket of copies takes pairs in proportion to its members. Pairs whose four-bit sketches differ more
-than those of a pair at the limit ever do are not verified.
+Bands of the signature give buckets. First each text is compared, by the true overlap of the bags, with one
+other: the leader of most of its buckets; what is linked merges, and again with other leaders. That takes one
+pair a text and round, and leaves few buckets that hold more than one component. In those, members outside
+the largest component are compared with the members of other components, never with their own. So the links
+found connect all that comparing all pairs of a bucket would connect, and a bucket of copies takes pairs in
+proportion to its members.
+
+Two bounds keep a pair of the second part from being compared. What two bags share is at most what each of
+them shares with any text left: shingles that no other text left holds count for nothing. That bound is exact.
+The other isn't: pairs whose four-bit sketches differ in more components than a pair at the limit does, but
+for ``sigmas`` standard deviations (4: a chance of 3 in 100,000 to lose the pair), are left out. ``sigmas=None``
+compares them all.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, cannot_contain, connected_components, cut, fresh, may_contain, text_of
+from .shared import bounded_batches, cannot_contain, connected_components, cut, discard, fresh, may_contain, text_of
 from .words import hashed, mix, parts, rolling
 
 #: Words in a shingle, and the least similarity of a link.
@@ -31,8 +38,10 @@ WIDTH, ALIKE = 5, 0.8
 #: Signatures of BANDS * ROWS components: a pair at ALIKE shares a bucket with probability 0.9993, one at 0.5 with 0.14.
 BANDS, ROWS = 40, 8
 #: BANDS * ROWS must be a multiple of 16.
-#: Leaders of a bucket in the first rounds, taken from the members that share most buckets with others, whatever their component.
-LEADERS = (2, 16)
+#: Rounds in which each text is compared with one other; then members of a bucket that lead at a time, in the first round and later.
+ROUNDS, LEADERS = 3, (16, 128)
+#: Standard deviations by which the sketches of a pair may differ more than those of a pair at the limit.
+SIGMAS = 4.0
 _HASH_BITS = 50
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,10 +131,10 @@ def differing(a: F.Column, b: F.Column, numbers: int) -> F.Column:
     return out
 
 
-def most_differing(alike: float, size: int) -> int:
-    """Components in which the sketches of a pair that is just alike differ at most, but for a chance of 3 in 100,000."""
+def most_differing(alike: float, size: int, sigmas: float) -> int:
+    """Components in which the sketches of a pair that is just alike differ at most, but for ``sigmas`` standard deviations."""
     p = 15 / 16 * (1 - alike)
-    return int(size * p + 4 * (size * p * (1 - p)) ** 0.5)
+    return int(size * p + sigmas * (size * p * (1 - p)) ** 0.5)
 
 
 def _sign(bands: int, rows: int, width: int):
@@ -178,11 +187,55 @@ def nodes(text_col: str) -> F.Column:
     return F.substring(F.unhex(F.sha2(norm, 256)), 1, 16)
 
 
-def classes(docs: DataFrame, text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+def _bags(width: int):
+    kind = pa.schema([("node", pa.binary()), ("total", pa.int64()), ("bag", pa.list_(pa.struct([("shingle", pa.int64()), ("weight", pa.int64())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 1):
+                for k in range(0, len(part), 1 << 14):
+                    own = part.slice(k, 1 << 14)
+                    text, shingle, weight = bags(own.column(1), width)
+                    ends = pa.array(np.searchsorted(text, np.arange(len(own) + 1)).astype(np.int32))
+                    pairs = pa.StructArray.from_arrays([pa.array(shingle.view(np.int64)), pa.array(weight)], ["shingle", "weight"])
+                    total = np.bincount(text, weight, len(own)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.binary()), pa.array(total), pa.ListArray.from_arrays(ends, pairs)], schema=kind)
+
+    return run
+
+
+def _shared_weights(texts: DataFrame, width: int) -> DataFrame:
+    """(node, total, common): the weight of each bag, and of its shingles that another of the texts holds, too."""
+    bag = cut(texts.mapInArrow(_bags(width), "node binary, total bigint, bag array<struct<shingle bigint, weight bigint>>"), "bags")
+    each = bag.select("node", F.explode("bag").alias("s")).select("node", "s.shingle", "s.weight")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("weight").alias("weight")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.sum("weight").alias("alone"))
+    return bag.select("node", "total").join(alone, "node", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+BUCKET = ["band", "key"]
+
+
+def _one_each(active: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), at most one for each node: with the leader, of another component, of most of its buckets.
+
+    At first the texts lead that share most buckets with others (the text that others were made from shares
+    more with them than they do with each other), later those with the largest hash of the round.
+    """
+    rank = F.struct("met", "node") if not turn else F.struct(F.xxhash64(F.lit(turn), "node"), "node")
+    now = active.join(roots, "node")
+    lead = now.groupBy(*BUCKET).agg(F.max_by(F.struct("node", "root"), rank).alias("lead"))
+    met = now.join(lead, BUCKET).where("lead.root <> root").groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("buckets"))
+    best = met.groupBy("node").agg(F.max_by("lead", F.struct("buckets", "lead")).alias("lead"))
+    return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+
+
+def classes(
+    docs: DataFrame, text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, sigmas: float | None = SIGMAS
+) -> DataFrame:
     """(node, root) of linked nodes: the components of all verified links between nodes that share a bucket.
 
-    In each round a bucket's leaders are compared with its members of other components, and leave. Links
-    within a component would change nothing, so that a bucket is done once it is known to hold one.
+    Links within a component would change nothing, so that a bucket is done once it is known to hold one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -190,42 +243,64 @@ def classes(docs: DataFrame, text_col: str = "text", alike: float = ALIKE, bands
     signed = rows_.mapInArrow(_sign(bands, rows, width), "node binary, bands array<bigint>, sketch array<bigint>")
     one = cut(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "signed")
     member = one.select("node", F.posexplode("bands").alias("band", "key"))
-    bucket = ["band", "key"]
-    many = member.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    active = cut(member.join(many, bucket), "buckets")
-    # the text that others were made from shares more buckets with them than they do with each other: such texts lead
-    asked = cut(active.groupBy("node").agg(F.sum("n").alias("met")).join(one.select("node", "sketch"), "node"), "asked")
-    active = active.join(asked, "node").select(*bucket, "node", "met", "sketch")
-    most = most_differing(alike, bands * rows)
+    many = member.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(member.join(many, BUCKET), "buckets")
+    asked = cut(members.groupBy("node").agg(F.sum("n").alias("met")).join(one.select("node", "sketch"), "node"), "asked")
+    active = cut(members.join(asked.select("node", "met"), "node").select(*BUCKET, "node", "met"), "members")
+    discard(members)
     texts = may_contain(rows_, "node", asked, "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = cut(texts.join(asked, "node", "left_semi"), "texts")
-    known, turn = spark.createDataFrame([], "a binary, b binary, alike double"), 0
-    roots = asked.select("node", F.col("node").alias("root"))
+    known = spark.createDataFrame([], "a binary, b binary, alike double")
+    roots = cut(asked.select("node", F.col("node").alias("root")), "roots")
+
+    def merge(pairs: DataFrame) -> DataFrame:
+        """Compare the pairs, and the components after that."""
+        nonlocal known
+        pairs = pairs.distinct().join(known, ["a", "b"], "left_anti")
+        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        found = cut(both.mapInArrow(_verify(width), "a binary, b binary, alike double"), "known")
+        known = known.union(found)
+        merged = cut(_hooked(roots, found.where(F.col("alike") >= alike).select("a", "b")), "roots")
+        discard(roots)
+        return merged
+
+    for turn in range(ROUNDS):
+        roots = merge(_one_each(active, roots, turn))
+    now = active.join(roots, "node")
+    mixed = now.groupBy(*BUCKET).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*BUCKET)
+    mixed = cut(active.join(mixed, BUCKET, "left_semi"), "mixed")
+    facts = _shared_weights(texts.join(mixed.select("node").distinct(), "node", "left_semi"), width)
+    enough = F.col("common") * (1 + 1e-9) >= alike * F.col("total")  # a text that shares less with all others together has no link
+    facts = cut(facts.where(enough).join(asked, "node"), "facts")
+    active, turn = mixed.join(facts.select("node"), "node", "left_semi"), 0
+    leader = F.struct("node", "root", "sketch", "total", "common")
+    most = None if sigmas is None else most_differing(alike, bands * rows, sigmas)
+
+    def may_link(x: F.Column) -> F.Column:
+        both = F.least(x["common"], F.col("common"))  # what the two share at most
+        ok = (x["root"] != F.col("root")) & (both * (1 + alike) * (1 + 1e-9) >= alike * (x["total"] + F.col("total")))
+        return ok if most is None else ok & (differing(x["sketch"], F.col("sketch"), bands * rows // 16) <= most)
+
     while True:
-        now = cut(active.join(roots, "node").select(*bucket, "node", "met", "sketch", "root"), "now")
-        sizes = now.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
-        main = sizes.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        # the first leaders come from anywhere, the later ones from all components but the largest: few compare with many, not many with few
-        leaders, central = LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] * 8, turn < len(LEADERS)
-        may = now.join(main, bucket).where(F.lit(central) | (F.col("root") != F.col("main")))
-        first = F.row_number().over(Window.partitionBy(*bucket).orderBy(F.desc("met"), "node"))
-        lead = may.select(*bucket, "node", "root", "sketch", first.alias("n")).where(F.col("n") <= leaders)
-        lead = cut(lead.groupBy(*bucket).agg(F.collect_list(F.struct("node", "root", "sketch")).alias("leads")), "leads")
+        now = cut(active.join(roots, "node").join(facts.drop("met"), "node"), "now")
+        sizes = now.groupBy(*BUCKET, "root").agg(F.count("*").alias("n"))
+        main = sizes.groupBy(*BUCKET).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        # leaders come from all components but the largest: few compare with many, not many with few
+        may = now.join(main, BUCKET).where("root <> main")
+        first = F.row_number().over(Window.partitionBy(*BUCKET).orderBy(F.desc("met"), "node"))
+        lead = may.withColumn("n", first).where(F.col("n") <= LEADERS[min(turn, len(LEADERS) - 1)])
+        lead = cut(lead.groupBy(*BUCKET).agg(F.collect_list(leader).alias("leads")), "leads")
         if lead.isEmpty():
             return cut(connected_components(known.where(F.col("alike") >= alike).select("a", "b")).toDF("node", "root"), "components")
-        met = now.join(lead, bucket).withColumn("leads_", F.exists("leads", lambda x: x["node"] == F.col("node")))
-        may_link = lambda x: differing(x["sketch"], F.col("sketch"), bands * rows // 16) <= most
-        other = F.filter("leads", lambda x: (x["root"] != F.col("root")) & (~F.col("leads_") | (F.col("node") > x["node"])) & may_link(x))
+        met = now.join(lead, BUCKET).withColumn("leads_", F.exists("leads", lambda x: x["node"] == F.col("node")))
+        other = F.filter("leads", lambda x: (~F.col("leads_") | (F.col("node") > x["node"])) & may_link(x))
         other = F.transform(other, lambda x: x["node"])
         each = met.select("node", other.alias("b")).where(F.size("b") > 0)  # a pair meets in many buckets, and is taken once
         each = each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b"))
-        pairs = each.select(F.col("node").alias("a"), F.explode("b").alias("b"))
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        found = cut(both.mapInArrow(_verify(width), "a binary, b binary, alike double"), "known")
-        known = known.union(found)
-        roots = cut(_hooked(roots, found.where(F.col("alike") >= alike).select("a", "b")), "roots")
-        active, turn = met.where("not leads_").select(*bucket, "node", "met", "sketch"), turn + 1
+        pairs = each.select("node", F.explode("b").alias("b"))
+        roots = merge(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")))
+        active, turn = cut(met.where("not leads_").select(*BUCKET, "node", "met"), "active"), turn + 1
+        discard(now, lead)
 
 
 def _hooked(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -238,8 +313,9 @@ def _hooked(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH,
+    sigmas: float | None = SIGMAS,
+) -> DataFrame:
     """One row per row of ``docs``: id, class_id, class_size, kept.
 
     Documents are linked when the weighted Jaccard similarity of their ``width``-word shingles is at least
@@ -248,16 +324,14 @@ def near_dedup(
     document: they count in class_size and share ``kept``. A null id is larger than any other; a class of
     null ids alone has a null class_id and keeps all. No rows give no rows.
     """
-    out = _judged(docs, id_col, text_col, (), alike, bands, rows, width)
+    out = _judged(docs, id_col, text_col, (), alike=alike, bands=bands, rows=rows, width=width, sigmas=sigmas)
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
-def _judged(
-    docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ...], alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH
-) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ...], **options) -> DataFrame:
     """One row per row of ``docs``: id, class_id, class_size, kept, and node if it is in ``more``."""
     row = cut(docs.select(F.col(id_col).alias("id"), nodes(text_col).alias("node")), "nodes")
-    roots = classes(docs, text_col, alike, bands, rows, width)
+    roots = classes(docs, text_col, **options)
     row = cut(row.join(roots, "node", "left").select("id", *more, F.coalesce("root", "node").alias("root")), "roots")
     summed = cut(row.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     return row.join(summed, "root").withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))

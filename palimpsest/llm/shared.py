@@ -40,7 +40,17 @@ def cut(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these tables, once nothing that is still to be computed reads them."""
+    for df in tables:
+        if path := df.__dict__.get("_cut"):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:

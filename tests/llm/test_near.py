@@ -72,6 +72,25 @@ def test_near_dedup_classes_are_those_of_all_pairs(spark):
     assert minhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_a_group_whose_links_are_few(spark):
+    """Copies with so many changes that half of them are alike to no other one, among copies that are: with and without sketches."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(140)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            k = rng.randrange(len(w))
+            w[k] = rng.choice([f"n{rng.randrange(10**6)}", "and", "or"])
+        texts.append(" ".join(w))
+    bags = [bag(t) for t in texts]
+    want = roots(range(150), [(i, j) for i in range(150) for j in range(i) if alike(bags[i], bags[j]) >= 0.8])
+    assert len(set(want.values())) > 10
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    for sigmas in (minhash.SIGMAS, None):
+        assert {r.doc_id: r.class_id for r in minhash.near_dedup(docs, sigmas=sigmas).collect()} == want
+
+
 def test_drop_near_tells_texts_of_one_id_apart(spark):
     near = " ".join(f"w{k}" for k in range(200))
     rows = [(1, near), (2, near + " x"), (2, "alone in the world with a second text"), (3, "of its own")]
