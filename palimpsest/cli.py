@@ -17,7 +17,13 @@ COMMANDS = {
     "history": ["key"],
     "get-at": ["key", "revision"],
     "prune-history": ["keep"],
-    "import": ["file"],
+    "import": ["key", "file"],
+    "gen": ["key", "generator", "params"],
+    "inspect": ["key"],
+    "train-dict": ["prefix"],
+    "train-template": ["prefix"],
+    "vacuum": [],
+    "version": [],
     "sources": [],
     "stats": [],
     "verify": [],
@@ -33,7 +39,10 @@ def parser() -> argparse.ArgumentParser:
     for name, arguments in COMMANDS.items():
         one = commands.add_parser(name)
         for a in arguments:
-            one.add_argument(a, type=int if a in ("offset", "length", "revision", "keep") else str)
+            one.add_argument(a, type=int if a in ("offset", "length", "revision", "keep", "generator") else bytes.fromhex if a == "params" else str)
+        if name in ("get", "range", "get-at"):
+            one.add_argument("--out", help="a file for the bytes, exactly as they are")
+            one.add_argument("--hex", action="store_true")
         if name == "scan":
             one.add_argument("--limit", type=int, default=0)
             one.add_argument("--reverse", action="store_true")
@@ -62,7 +71,15 @@ def run(store, a: argparse.Namespace) -> int:
     elif a.command == "prune-history":
         found = store.prune_history(a.keep)
     elif a.command == "import":
-        found = store.import_files([a.file]).revision
+        found = store.import_file(key, a.file)
+    elif a.command == "gen":
+        found = store.put_generated(key, a.generator, 1, a.params)
+    elif a.command in ("train-dict", "train-template"):
+        found = store.train("zstd_dict" if a.command == "train-dict" else "template", prefix=a.prefix.encode())
+    elif a.command == "vacuum":
+        found = store.vacuum()
+    elif a.command == "version":
+        found = store._commit()["meta"]["version"]
     elif a.command == "gc":
         found = store.gc()
     elif a.command == "compact":
@@ -72,6 +89,7 @@ def run(store, a: argparse.Namespace) -> int:
         rows = {
             "scan": lambda: store.scan(*prefix_bounds(a.prefix.encode()), a.reverse, a.limit, with_values=False),
             "history": lambda: store.history(key),
+            "inspect": lambda: store.inspect(key),
             "sources": store.sources,
             "stats": store.stats,
             "verify": store.verify,
@@ -81,7 +99,13 @@ def run(store, a: argparse.Namespace) -> int:
         return int(a.command == "verify" and not maintenance.is_ok(rows))
     if found is None:
         return 1
-    print(found.decode("utf-8", "backslashreplace") if isinstance(found, bytes) else found)
+    if isinstance(found, bytes) and a.out:
+        with open(a.out, "wb") as f:
+            f.write(found)
+    elif isinstance(found, bytes):
+        print(found.hex() if a.hex else found.decode("utf-8", "backslashreplace"))
+    else:
+        print(found)
     return 0
 
 

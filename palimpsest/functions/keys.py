@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -116,6 +117,17 @@ class Snowflakes:
         return (self.last >> 12) << 22 | self.fixed | (self.last & 4095)
 
 
+def shared_prefix(start: Bound, end: Bound) -> bytes:
+    """The longest prefix that every key of a range has: where its ends agree, and one byte on where no key lies at the end itself."""
+    if "unbounded" in (start.kind, end.kind):
+        return b""
+    a, b = (x.key.encode() if isinstance(x.key, str) else bytes(x.key) for x in (start, end))
+    n = len(os.path.commonprefix([a, b]))
+    if end.kind == "excluded" and len(b) == n + 1 and len(a) > n and a[n] + 1 == b[n]:
+        n += 1 + len(a[n + 1 :]) - len(a[n + 1 :].lstrip(b"\xff"))
+    return a[:n]
+
+
 def first_bytes(key: Column, n: int) -> Column:
     return F.substring(key, 1, n)
 

@@ -36,7 +36,9 @@ def digest(block: Column) -> Column:
     return F.sha2(block, 256)
 
 
-def dedupe(blocks: DataFrame, objects: DataFrame | None = None, base: int = 0, share: bool = True) -> tuple[DataFrame, DataFrame]:
+def dedupe(
+    blocks: DataFrame, objects: DataFrame | None = None, base: int = 0, share: bool = True, held: list[DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(references, new objects): equal blocks share an object, equal in bytes, not in digest alone.
 
     Grouping by digest, length and bytes is aggregated before the shuffle: however often a block occurs, a
@@ -46,7 +48,7 @@ def dedupe(blocks: DataFrame, objects: DataFrame | None = None, base: int = 0, s
     named = blocks.withColumn("digest", digest(F.col("block"))).withColumn("raw_len", F.octet_length("block"))
     by = ["digest", "raw_len", "block"]
     if not share:
-        new = numbered(named.withColumn("first", F.struct("key", "ord")), "first", "object_id", base)
+        new = numbered(named.withColumn("first", F.struct("key", "ord")), "first", "object_id", base, held)
         return new.select("key", "ord", "begin", "stop", "object_id"), new.select("object_id", *by)
     groups = named.groupBy(*by).agg(F.min(F.struct("key", "ord")).alias("first"))
     if objects is not None:
@@ -54,7 +56,7 @@ def dedupe(blocks: DataFrame, objects: DataFrame | None = None, base: int = 0, s
         groups = groups.join(old, by, "left")
     else:
         groups = groups.withColumn("old_id", F.lit(None).cast("long"))
-    fresh = numbered(groups.where("old_id is null").drop("old_id"), "first", "object_id", base)
+    fresh = numbered(groups.where("old_id is null").drop("old_id"), "first", "object_id", base, held)
     known = groups.where("old_id is not null").select(*by, F.col("old_id").alias("object_id")).unionByName(fresh.select(*by, "object_id"))
     refs = named.join(known, by).select("key", "ord", "begin", "stop", "object_id")
     return refs, fresh.select("object_id", *by)
@@ -84,6 +86,7 @@ def chunk_starts(refs: DataFrame) -> DataFrame:
 def reassemble(refs: DataFrame, objects: DataFrame, offset: int = 0, length: int | None = None) -> DataFrame:
     """(key, value, complete) from references and objects (object_id, block); of a byte range only the blocks it touches.
 
+    A value is one array of the JVM, and its digits another: half a GiB at most; longer ones are read by ranges.
     ``complete`` is false where an object is missing or has another length than its reference.
     """
     rows = refs
@@ -97,8 +100,8 @@ def reassemble(refs: DataFrame, objects: DataFrame, offset: int = 0, length: int
         high = F.least(F.col("stop"), F.lit(offset + length)) - F.col("begin")
         part = F.substring(part, (low + 1).cast("int"), (high - low).cast("int"))
     parts = joined.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce(part, F.lit(b"")).alias("part")))).alias("parts"), F.min(fits).alias("complete"))
-    empty = F.lit(b"")
-    return parts.select("key", F.aggregate("parts", empty, lambda acc, p: F.concat(acc, p["part"])).alias("value"), "complete")
+    joined_ = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["part"])), ""))  # every byte is copied once, not once for each block after it
+    return parts.select("key", joined_.alias("value"), "complete")
 
 
 def encode_units(units: DataFrame, selector: Selector, column: str = "block") -> DataFrame:

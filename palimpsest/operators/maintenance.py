@@ -6,8 +6,13 @@ stored counts: (object_id, refs); candidates: (digest, raw_len, object_id).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import IntegrityError
 from .blocks import decode_units
@@ -28,6 +33,26 @@ def usage_by_codec(units: DataFrame) -> DataFrame:
     )
 
 
+def byte_entropy(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Order-0 entropy of the bytes of each group, in bits a byte: 256 counts per group and batch leave a task, not a row per byte."""
+    kind = rows.schema[by].dataType.simpleString()
+    schema = pa.schema([(by, to_arrow_type(rows.schema[by].dataType)), ("byte", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes = groups.indices.to_numpy()
+            for k in range(len(groups.dictionary)):
+                data = b"".join(v for v in batch.column(1).filter(pa.array(codes == k)).to_pylist() if v)
+                n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array([k] * len(some), pa.int32())).cast(schema.field(0).type), pa.array(some.astype(np.int32)), pa.array(n[some])], schema=schema)
+
+    counts = rows.select(by, F.col(value).cast("binary")).mapInArrow(run, f"{by} {kind}, byte int, n long").groupBy(by, "byte").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(by))
+    return counts.withColumn("p", F.col("n") / total).groupBy(by).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+
+
 def table_totals(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """Entries and payload per table of (rows, key column, value column), and in all as ``total``."""
     out = None
@@ -112,15 +137,18 @@ def dangling_sources(records: DataFrame, sources: DataFrame) -> DataFrame:
     return records.where("source_id is not null").join(sources.select("source_id"), "source_id", "left_anti").select("source_id").distinct()
 
 
-def verify(refs: DataFrame, objects: DataFrame, stored: DataFrame, candidates: DataFrame, units: DataFrame | None = None, params: dict[int, bytes] | None = None) -> DataFrame:
-    """(problem, n, fatal): orphans and stale candidates are no errors."""
+def verify(
+    refs: DataFrame, objects: DataFrame, stored: DataFrame, candidates: DataFrame, units: DataFrame | None = None, params: dict[int, bytes] | None = None,
+    more: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """(problem, n, fatal): orphans and stale candidates are no errors; each row of ``more`` is one."""
+    status = candidate_report(candidates, objects, refs).groupBy("status").agg(F.count("*").alias("n"))
     parts = {
         "missing_object": (missing_objects(refs, objects), True),
         "refcount": (refcount_drift(refs, objects, stored), True),
         "length": (length_conflicts(refs, objects), True),
         "orphan": (orphans(refs, objects, stored), False),
-        "stale_candidate": (candidate_report(candidates, objects, refs).where("status = 'stale'"), False),
-        "dangling_candidate": (candidate_report(candidates, objects, refs).where("status = 'dangling'"), True),
+        **{name: (rows, True) for name, rows in (more or {}).items()},
     }
     if units is not None:
         parts["unit"] = (bad_units(units, params), True)
@@ -128,7 +156,9 @@ def verify(refs: DataFrame, objects: DataFrame, stored: DataFrame, candidates: D
     for name, (rows, fatal) in parts.items():
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n", F.lit(fatal).alias("fatal"))
         out = one if out is None else out.unionByName(one)
-    return out
+    found = {s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)) for s in ("stale", "dangling")}
+    both = status.agg(F.array(*[F.struct(F.lit(f"{s}_candidate").alias("problem"), n.alias("n"), F.lit(s == "dangling").alias("fatal")) for s, n in found.items()]).alias("r"))
+    return out.unionByName(both.select(F.explode("r").alias("r")).select("r.*"))
 
 
 def is_ok(report: DataFrame) -> bool:

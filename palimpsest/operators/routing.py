@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, Unsupported
 from ..functions.hashing import fmix64, shard_index, shard_of_hash, stable_hash, stable_hash_of
-from ..functions.keys import Bound, first_bytes, prefix_successor, until_separator, until_separator_bytes
+from ..functions.keys import Bound, first_bytes, shared_prefix, until_separator, until_separator_bytes
 
 
 @dataclass(frozen=True)
@@ -37,33 +39,22 @@ class Router:
         h = F.transform(F.array(self.hash(key)), lambda x: shard_index(x, shards))
         return F.get(h, F.lit(0))
 
-    def fixing(self, raw: bytes) -> tuple[int, bytes] | None:
-        """How much of a key's start decides its shard, and what is hashed; None if ``raw`` is too short for that."""
-        if self.separator is None:
-            return (self.count, raw[: self.count]) if len(raw) >= self.count else None
-        head, found = until_separator_bytes(raw, ord(self.separator), self.count)
-        return (len(head) + 1, head) if found else None
+    def route_of(self, key: bytes) -> bytes:
+        return key[: self.count] if self.separator is None else until_separator_bytes(key, ord(self.separator), self.count)[0]
+
+    def decided(self, prefix: bytes) -> bool:
+        """Whether all keys that begin with ``prefix`` have one route."""
+        return len(prefix) >= self.count if self.separator is None else prefix.count(self.separator.encode()) >= self.count
 
     def shard_of_key(self, key: bytes, shards: int) -> int:
-        raw = key[: self.count] if self.separator is None else until_separator_bytes(key, ord(self.separator), self.count)[0]
-        return shard_of_hash(stable_hash_of(raw), shards)
+        return shard_of_hash(stable_hash_of(self.route_of(key)), shards)
 
     def shard_of_prefix(self, prefix: bytes, shards: int) -> int | None:
-        found = self.fixing(prefix)
-        return None if found is None else shard_of_hash(stable_hash_of(found[1]), shards)
+        return self.shard_of_key(prefix, shards) if self.decided(prefix) else None
 
     def shard_of_range(self, start: Bound, end: Bound, shards: int) -> int | None:
-        """The one shard that holds the range, where its ends decide it; else None (all shards)."""
-        if start.kind == "unbounded":
-            return None
-        raw = start.key.encode() if isinstance(start.key, str) else start.key
-        found = self.fixing(raw)
-        if found is None:
-            return None
-        after = prefix_successor(raw[: found[0]])
-        last = end.key.encode() if isinstance(end.key, str) else end.key
-        inside = after is None or (end.kind == "excluded" and last <= after) or (end.kind == "included" and last < after)
-        return shard_of_hash(stable_hash_of(found[1]), shards) if inside else None
+        """The one shard that holds the range, where what all its keys begin with decides it; else None (all shards)."""
+        return self.shard_of_prefix(shared_prefix(start, end), shards)
 
 
 @dataclass(frozen=True)
@@ -71,7 +62,20 @@ class CustomRouter:
     """A named function on driver-side keys; ranges never name a shard."""
 
     name: str
-    route: object
+    route: Callable[[bytes], int]
+
+    def describe(self) -> str:
+        return f"custom:{self.name}"
+
+    def shard(self, key: Column, shards: int) -> Column:
+        """The shard of each key, in Arrow batches: the function is Python."""
+        route = self.route
+
+        @F.pandas_udf("int")
+        def of(keys: pd.Series) -> pd.Series:
+            return keys.map(lambda k: shard_of_hash(fmix64(route(bytes(k))), shards)).astype("int32")
+
+        return of(key)
 
     def shard_of_key(self, key: bytes, shards: int) -> int:
         return shard_of_hash(fmix64(self.route(key)), shards)

@@ -24,14 +24,17 @@ def validation_error(key: Column, value: Column, op: Column, config: Config) ->
     )
 
 
-def numbered(rows: DataFrame, order: str, name: str, base: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, order: str, name: str, base: int = 0, held: list[DataFrame] | None = None) -> DataFrame:
     """``rows`` numbered base + 1, base + 2, ... in the order of a unique column, without a single-partition window.
 
     Rows are dealt out by range and numbered within their partition; the partitions' sizes (one number
-    each) give the offsets.
+    each) give the offsets, as a table of one row a partition. The dealt rows stay cached, so that they are
+    dealt out once; ``held`` gets them, for the caller to release.
     """
     dealt = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
     dealt = dealt.persist()
+    if held is not None:
+        held.append(dealt)
     sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
     offsets, at = [], base
     for part in sorted(sizes):
@@ -40,8 +43,8 @@ def numbered(rows: DataFrame, order: str, name: str, base: int = 0) -> DataFrame
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     if not offsets:
         return rows.withColumn(name, F.lit(None).cast("long"))
-    first = F.create_map(*[F.lit(x) for pair in offsets for x in pair])
-    return dealt.withColumn(name, (F.element_at(first, F.col("_part")) + within).cast("long")).drop("_part")
+    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part int, _at long"))  # a row a partition
+    return dealt.withColumn("_within", within).join(first, "_part").withColumn(name, F.col("_at") + F.col("_within")).drop("_part", "_at", "_within")
 
 
 def effective(ops: DataFrame, keep_history: bool = True) -> DataFrame:
@@ -104,11 +107,11 @@ def fold(ops: DataFrame, state: DataFrame) -> DataFrame:
     return rows.select("ord", "key", "op", "value", "expect", "expect_revision", "expect_ord", "held").mapInArrow(run, kind)
 
 
-def write_batch_each(ops: DataFrame, state: DataFrame, base: int = 0, keep_history: bool = True) -> DataFrame:
+def write_batch_each(ops: DataFrame, state: DataFrame, base: int = 0, keep_history: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
     """Outcomes in which operations that conflict are skipped; effective ones get the revisions after ``base``."""
     out = fold(ops, state)
     takes = (F.col("status") == "ok") & (F.lit(True) if keep_history else F.col("op") == "put")
-    given = numbered(out.where(takes).select(F.col("ord").alias("_ord")), "_ord", "revision", base)
+    given = numbered(out.where(takes).select(F.col("ord").alias("_ord")), "_ord", "revision", base, held)
     return out.join(given, F.col("ord") == F.col("_ord"), "left").drop("_ord")
 
 

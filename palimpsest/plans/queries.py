@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import generators, hashing, keys
 from ..functions.codecs import Selector
 from ..functions.keys import excluded, included
@@ -174,10 +175,10 @@ def kv_cas_chain_whole(spark, sf_dir):
 
 @query(OPS + "SELECT m.ord, m.key, (SELECT max(l.revision) FROM log l WHERE l.key = m.key AND l.ord < m.ord) AS deleted_revision FROM marked m WHERE m.op = 'delete' AND m.before = 'put'")
 def kv_delete_result(spark, sf_dir):
-    """What each delete that had an effect deleted."""
-    before = F.lag("revision").over(Window.partitionBy("key").orderBy("revision"))
-    rows = fixtures.event_log(spark, sf_dir).withColumn("deleted_revision", before)
-    return rows.where("kind = 'tombstone'").select("ord", "key", "deleted_revision")
+    """What each delete that had an effect deleted: the revision given to the operation that it touched."""
+    out = writes.write_batch_each(fixtures.mutations(spark, sf_dir), spark.createDataFrame([], "key string, revision long"))
+    given = out.select(F.col("ord").alias("touched"), F.col("revision").alias("deleted_revision"))
+    return out.where("op = 'delete' and status = 'ok'").select("ord", "key", "touched").join(given, "touched").drop("touched")
 
 
 @query(OPS + "SELECT key, arg_max(value, ord) AS value FROM ops GROUP BY key")
@@ -477,11 +478,9 @@ def kv_counter_check(spark, sf_dir):
 n AS (SELECT lang, byte, count(*) AS n FROM c GROUP BY ALL)
 SELECT lang, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT lang, n, sum(n) OVER (PARTITION BY lang) AS t FROM n) GROUP BY lang""")
 def kv_entropy(spark, sf_dir):
-    """Order-0 entropy of the bytes of each language, in bits: counted per text in the JVM, then summed."""
-    pairs = F.filter(F.split(F.regexp_replace(F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "(..)", "$1,"), ","), lambda x: x != "")
-    rows = fixtures.table(spark, sf_dir, "documents").select("lang", F.explode(pairs).alias("byte")).groupBy("lang", "byte").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    return rows.groupBy("lang").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
+    """Order-0 entropy of the bytes of each language, in bits."""
+    rows = fixtures.table(spark, sf_dir, "documents").select("lang", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("value"))
+    return maintenance.byte_entropy(rows, "lang", "value").select("lang", F.round("entropy", 6).alias("entropy"))
 
 
 @query("SELECT i, 1000 + 7 * i AS value FROM range(0, 5000) t(i)")
@@ -595,7 +594,20 @@ def kv_commit_stats(spark, sf_dir):
     return commits.commit_stats(kv_batch_cuts(spark, sf_dir))
 
 
-@query()
+GREEDY = """WITH RECURSIVE q AS (
+  SELECT conv_id AS queue, turn AS ord, 1 AS ops, CAST(octet_length(encode(coalesce(text, ''))) AS INT) AS bytes, 'plain' AS kind, turn = 4 AS flush,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+g AS (
+  SELECT *, CAST(0 AS BIGINT) AS batch, 1 AS held, bytes AS size FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.*, CASE WHEN g.flush OR g.held + 1 > 3 OR g.size + q.bytes > 2000 THEN g.batch + 1 ELSE g.batch END,
+    CASE WHEN g.flush OR g.held + 1 > 3 OR g.size + q.bytes > 2000 THEN 1 ELSE g.held + 1 END,
+    CASE WHEN g.flush OR g.held + 1 > 3 OR g.size + q.bytes > 2000 THEN q.bytes ELSE g.size + q.bytes END
+  FROM g JOIN q ON q.queue = g.queue AND q.n = g.n + 1)
+SELECT queue, ord, ops, bytes, kind, flush, batch FROM g"""
+
+
+@query(GREEDY)
 def kv_greedy_batches(spark, sf_dir):
     """Messages as requests of their channel's queue, at most 3 operations or 2000 bytes each batch."""
     rows = fixtures.messages(spark, sf_dir).select(F.col("channel").alias("queue"), F.col("id").alias("ord"), F.lit(1).alias("ops"), F.octet_length("payload").alias("bytes"), F.lit("plain").alias("kind"), (F.col("id") == 4).alias("flush"))
@@ -618,6 +630,13 @@ def kv_codec_roundtrip(spark, sf_dir):
     return done.groupBy("codec").agg(F.count("*").alias("units"), F.count_if(F.col("data") == F.col("block")).alias("exact"), F.count("problem").alias("problems"))
 
 
+@query(BLOCKS + "SELECT count(*) AS units, count(*) AS exact, CAST(0 AS BIGINT) AS problems FROM objects")
+def kv_codec_exact(spark, sf_dir):
+    """All blocks of the documents encoded, decoded and held against their bytes and digests."""
+    units = blocks.encode_units(fixtures.block_store(spark, sf_dir)[1].select("object_id", "raw_len", "block"), Selector())
+    return blocks.decode_units(units).agg(F.count("*").alias("units"), F.count_if(F.col("data") == F.col("block")).alias("exact"), F.count("problem").alias("problems"))
+
+
 @query()
 def kv_dataset_codecs(spark, sf_dir):
     """Which codecs the six datasets get, 200 records of 1 KiB each."""
@@ -666,6 +685,121 @@ def kv_stream_current_state(spark, sf_dir):
     return store.scan().select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
 
 
+def _event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.mutations(spark, sf_dir)
+    expect = [F.lit("any").alias("expect"), F.lit(None).cast("long").alias("expect_revision")]
+    return rows.select("ord", "op", F.encode("key", "UTF-8").alias("key"), F.encode("value", "UTF-8").alias("value"), *expect)
+
+
+@query(OPS + """, puts AS (SELECT *, row_number() OVER (ORDER BY ord) AS number FROM ops WHERE op = 'put'),
+last AS (SELECT key, max(ord) AS ord FROM ops GROUP BY key)
+SELECT true AS history, key, revision, value FROM log WHERE kind = 'inline'
+UNION ALL SELECT false, key, number, value FROM puts JOIN last USING (key, ord)""")
+def kv_store_get_at(spark, sf_dir):
+    """All that get_at can give after the events are written, with history and without."""
+    from .store import Store
+
+    out = []
+    for history in (True, False):
+        store = Store(spark, f"{scratch(spark)}/store", Config(keep_history=history))
+        store.write(_event_ops(spark, sf_dir)).unpersist()
+        out.append(store.revisions().select(F.lit(history).alias("history"), F.decode("key", "UTF-8").alias("key"), "revision", F.decode("value", "UTF-8").alias("value")))
+    return out[0].unionByName(out[1])
+
+
+@query("""WITH b AS (SELECT item_id, encode(coalesce(text, '')) AS v, encode(reverse(coalesce(text, ''))) AS w FROM benchmark),
+vals AS (
+  SELECT v, item_id % 3 <> 0 AND item_id % 5 <> 0 AS lives FROM b
+  UNION ALL SELECT w, item_id % 5 <> 0 FROM b WHERE item_id % 3 = 0),
+cut AS (SELECT hex(v)[i * 1024 + 1:i * 1024 + 1024] AS block, lives FROM (SELECT v, lives, unnest(range(0, CAST(ceil(octet_length(v) / 512.0) AS BIGINT))) AS i FROM vals WHERE octet_length(v) > 64)),
+objects AS (SELECT block, bool_or(lives) AS lives FROM cut GROUP BY block)
+SELECT false AS history, count(*) FILTER (WHERE NOT lives) AS dropped, count(*) FILTER (WHERE lives) AS kept FROM objects
+UNION ALL SELECT true, 0, count(*) FROM objects""")
+def kv_store_gc(spark, sf_dir):
+    """Objects that garbage collection drops and keeps after every third benchmark text was replaced and every fifth key deleted."""
+    from .store import Store
+
+    rows, out = fixtures.table(spark, sf_dir, "benchmark"), []
+    text, key, i = F.coalesce("text", F.lit("")), F.encode(F.concat(F.lit("item/"), F.col("item_id").cast("string")), "UTF-8"), F.col("item_id")
+    expect = [F.lit("any").alias("expect"), F.lit(None).cast("long").alias("expect_revision")]
+    put = lambda value, ord_: [ord_.cast("long").alias("ord"), F.lit("put").alias("op"), key.alias("key"), F.encode(value, "UTF-8").alias("value"), *expect]
+    first = rows.select(*put(text, i))
+    gone = rows.where(i % 5 == 0).select((2 * i + 1).cast("long").alias("ord"), F.lit("delete").alias("op"), key.alias("key"), F.lit(None).cast("binary").alias("value"), *expect)
+    second = rows.where(i % 3 == 0).select(*put(F.reverse(text), 2 * i)).unionByName(gone)
+    for history in (False, True):
+        store = Store(spark, f"{scratch(spark)}/store", Config(block_size=512, inline_max=64, keep_history=history))
+        store.write(first).unpersist()
+        store.write(second).unpersist()
+        dropped = store.gc()
+        out.append(store.table("objects").agg(F.count("*").alias("kept")).select(F.lit(history).alias("history"), F.lit(dropped).cast("long").alias("dropped"), "kept"))
+    return out[0].unionByName(out[1])
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM nation)
+SELECT 'nation/' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS key, upper(hex(encode(n_name))) AS value FROM nation
+UNION ALL SELECT 'repeat', substr(repeat('6D6F74696620', CAST(n * 100 AS BIGINT)), 1, CAST(2 * 101 * n AS BIGINT)) FROM n
+UNION ALL SELECT 'steps', (SELECT string_agg(lpad(hex(5 + 3 * i), 2, '0') || '00000000000000', '' ORDER BY i) FROM range(0, 80) t(i))""")
+def kv_store_scan_generated(spark, sf_dir):
+    """A scan over plain and generated records: the names of the nations, a motif and numbers in steps."""
+    from .store import Store
+
+    rows = fixtures.table(spark, sf_dir, "nation")
+    store = Store(spark, f"{scratch(spark)}/store")
+    n = rows.count()
+    key = F.concat(F.lit("nation/"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0"))
+    store.write(rows.select(F.col("n_nationkey").cast("long").alias("ord"), F.lit("put").alias("op"), F.encode(key, "UTF-8").alias("key"), F.encode("n_name", "UTF-8").alias("value"), F.lit("any").alias("expect"), F.lit(None).cast("long").alias("expect_revision"))).unpersist()
+    store.put_generated(b"repeat", 3, 1, generators.repeat_params(101 * n, b"motif "), "absent")
+    store.put_generated(b"steps", 1, 1, generators.arith_params(5, 3, 80))
+    return store.scan().select(F.decode("key", "UTF-8").alias("key"), F.hex("value").alias("value"))
+
+
+@query("""WITH t AS (SELECT string_agg(text, chr(10) ORDER BY item_id) AS v FROM benchmark),
+b AS (SELECT unnest(range(0, CAST(ceil(octet_length(encode(v)) / 512.0) AS BIGINT))) AS i, hex(encode(v)) AS h FROM t)
+SELECT 'in/benchmark' AS key, octet_length(encode(v)) AS logical_len, sha256(v) AS digest, (SELECT count(DISTINCT h[i * 1024 + 1:i * 1024 + 1024]) FROM b) AS objects, CAST(1 AS BIGINT) AS commits FROM t""")
+def kv_import_file(spark, sf_dir):
+    """A file of all benchmark texts, imported by ranges into one commit, and read back."""
+    from .store import Store
+
+    place = scratch(spark)
+    lines = fixtures.table(spark, sf_dir, "benchmark").where("text is not null").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n").alias("v"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/benchmark.txt")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(lines.first().v.encode()))  # a small, fixed table
+    out.close()
+    store = Store(spark, f"{place}/store", Config(block_size=512, inline_max=64))
+    before = store._commit()["id"]
+    store.import_file(b"in/benchmark", f"{place}/benchmark.txt", "absent")
+    done, objects = store._commit()["id"] - before, store.table("objects").count()
+    rows = store.scan()
+    return rows.select(F.decode("key", "UTF-8").alias("key"), "logical_len", F.sha2("value", 256).alias("digest"), F.lit(objects).cast("long").alias("objects"), F.lit(done).cast("long").alias("commits"))
+
+
+def _sharded(spark: SparkSession, sf_dir: str):
+    from .sharded import ShardedStore
+
+    store = ShardedStore(spark, f"{scratch(spark)}/sharded", 3, routing.Router(2, "/"))
+    rows = writes.numbered(fixtures.messages(spark, sf_dir).select("key", "payload"), "key", "ord")
+    store.write(rows.select("ord", F.lit("put").alias("op"), F.encode("key", "UTF-8").alias("key"), F.encode("payload", "UTF-8").alias("value"), F.lit("any").alias("expect"), F.lit(None).cast("long").alias("expect_revision")))
+    return store
+
+
+@query(MSGS + """SELECT 'all' AS scan, key, payload FROM msgs
+UNION ALL SELECT 'prefix', key, payload FROM msgs WHERE key >= 'ch/00000007/' AND key < 'ch/000000070'""")
+def kv_sharded_scan(spark, sf_dir):
+    """A scan of all shards merged, and one of a prefix that its router keeps to a single shard."""
+    store = _sharded(spark, sf_dir)
+    row = lambda name, rows: rows.select(F.lit(name).alias("scan"), F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("payload"))
+    return row("all", store.scan()).unionByName(row("prefix", store.scan_prefix(b"ch/00000007/")))
+
+
+@query(MSGS.rstrip() + ", routed AS (SELECT key, split_part(key, '/', 1) || '/' || split_part(key, '/', 2) AS route FROM msgs)" + FNV + """, s AS (SELECT CAST((h * 3) >> 64 AS INT) AS shard, octet_length(encode(payload)) AS n FROM hashed JOIN msgs USING (key))
+SELECT coalesce(shard, -1) AS shard, count(*) AS records, CAST(0 AS BIGINT) AS tombstones, CAST(sum(n) AS BIGINT) AS logical_bytes FROM s GROUP BY ROLLUP (shard)""")
+def kv_sharded_batch(spark, sf_dir):
+    """What a batch of all messages leaves in each shard, and in all (-1)."""
+    sums = _sharded(spark, sf_dir).stats()
+    return sums.select(F.coalesce("shard", F.lit(-1)).alias("shard"), *long("records", "tombstones", "logical_bytes"))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors see; a temporary one in local mode without spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)

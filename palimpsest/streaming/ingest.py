@@ -22,7 +22,8 @@ def commit_stream(ops: DataFrame, store: Store, checkpoint: str, name: str = "in
     def commit(batch: DataFrame, number: int) -> None:
         full = {"expect": F.lit("any"), "expect_revision": F.lit(None).cast("long")}
         rows = batch.select("ord", "op", "key", "value", *[F.col(c) if c in batch.columns else d.alias(c) for c, d in full.items()])
-        store.write(rows, atomic=False, tag=f"{name}:{number}")
+        if (done := store.write(rows, atomic=False, tag=f"{name}:{number}")) is not None:
+            done.unpersist()
 
     writer = ops.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).queryName(name)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -1,5 +1,6 @@
 """Codecs, formats, hashes, keys, generators and routing against vectors, plain arithmetic and damaged input."""
 
+import itertools
 import os
 import random
 
@@ -165,6 +166,18 @@ def test_routers_prune_only_what_they_can_prove():
     assert Router(3).shard_of_range(keys.included(b"abcd"), keys.excluded(b"abd"), 4) == Router(3).shard_of_key(b"abczz", 4)
 
 
+def test_shared_prefixes_of_ranges():
+    rng = random.Random(2)
+    some = lambda: bytes(rng.choice(b"ab\xff") for _ in range(rng.randrange(4)))
+    all_ = [b""] + [bytes(x) for n in range(1, 6) for x in itertools.product(b"ab\xff", repeat=n)]
+    for _ in range(400):
+        a, b, kind = some(), some(), rng.choice([keys.included, keys.excluded])
+        prefix = keys.shared_prefix(keys.included(a), kind(b))
+        inside = [k for k in all_ if a <= k and (k < b or (k == b and kind is keys.included))]
+        assert all(k.startswith(prefix) for k in inside)
+    assert keys.shared_prefix(keys.included(b"ab\xff\xffc"), keys.excluded(b"ac")) == b"ab\xff\xff" and keys.shared_prefix(keys.UNBOUNDED, keys.excluded(b"a")) == b""
+
+
 def test_datasets_are_functions_of_their_arguments():
     for kind in datasets.KINDS:
         assert datasets.value(kind, 42, 5, 512) == datasets.value(kind, 42, 5, 512)

@@ -2,6 +2,7 @@
 
 import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,11 +134,92 @@ def test_sources_and_imports(spark, path, tmp_path):
     store = Store(spark, path, SMALL)
     raw = bytes(range(256)) * 5 + b"\r\n\xff\xfe"
     (tmp_path / "f.bin").write_bytes(raw)
-    store.import_files([str(tmp_path / "f.bin")], b"in/")
-    assert store.get(b"in/f.bin") == raw
+    first = store._commit()["id"]
+    store.import_file(b"in/f.bin", str(tmp_path / "f.bin"))
+    assert store._commit()["id"] == first + 1 and store.get(b"in/f.bin") == raw
     one = store.sources().collect()
     assert len(one) == 1 and one[0].bytes == len(raw) and store.register_source("file", one[0].location) == one[0].source_id
     assert store.register_source("url", "x") == one[0].source_id + 1
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "f.bin").write_bytes(b"other" * 50)
+    with pytest.raises(RevisionConflict):
+        store.import_file(b"in/f.bin", str(tmp_path / "g" / "f.bin"), "absent")
+    before = {t: sorted(p.name for p in (tmp_path / "store" / t).iterdir()) for t in ("log", "objects", "sources")}
+    with pytest.raises(Exception, match="No such file|FileNotFound|does not exist"):
+        store.import_file(b"lost", str(tmp_path / "none"))
+    publish, store._publish = store._publish, lambda *_: (_ for _ in ()).throw(OSError("disk"))
+    with pytest.raises(OSError):
+        store.import_file(b"lost", str(tmp_path / "g" / "f.bin"))
+    store._publish = publish
+    assert before == {t: sorted(p.name for p in (tmp_path / "store" / t).iterdir()) for t in before}  # nothing of it is left
+    store.import_files({b"g/f.bin": str(tmp_path / "g" / "f.bin")})
+    assert store.get(b"g/f.bin") == b"other" * 50 and store.get(b"in/f.bin") == raw and maintenance.is_ok(store.verify(deep=True))
+
+
+def test_without_history_replaced_and_deleted_values_are_gone(spark, path):
+    store = Store(spark, path, Config(block_size=512, inline_max=64))
+    first = store.put(b"k", bytes(range(256)) * 4)
+    store.put(b"k", b"v2")
+    assert store.get_at(b"k", first) is None and store.get_at(b"k", first + 1) == b"v2"
+    assert store.gc() == 1 and store.table("objects").count() == 0
+    store.put(b"d", bytes(range(256)) * 4)
+    assert store.delete(b"d") and store.get_at(b"d", first + 2) is None and store.history(b"d").count() == 0 and store.gc() == 1
+    assert store.stats().first().records == 1
+    kept = Store(spark, path, Config(keep_history=True))
+    kept.put(b"k", b"v3")
+    assert kept.get_at(b"k", first + 1) == b"v2" and kept.get_at(b"k", first) is None
+    store.compact()
+    assert kept.get_at(b"k", first + 1) == b"v2"
+    store.delete(b"k")
+    for _ in range(2):
+        assert store.get(b"k") is None and [(r.revision, r.is_current) for r in store.history(b"k").collect()] == [(first + 1, False)]
+        store.compact()
+    report = store.vacuum(0)
+    assert report["files"] > 5 and report["after"] < report["before"] and len(store._ids()) == 1 and store.get_at(b"k", first + 1) == b"v2"
+    assert store.prune_history(0) == 1 and store.history(b"k").count() == 0
+
+
+def test_generated_records_in_scans_and_verification(spark, path):
+    store = Store(spark, path, Config(block_size=512, inline_max=64))
+    one = store.put_generated(b"g", 3, 1, generators.repeat_params(10, b"ab"), "absent")
+    with pytest.raises(RevisionConflict):
+        store.put_generated(b"g", 3, 1, generators.repeat_params(10, b"cd"), "absent")
+    store.put_generated(b"h", 1, 1, generators.arith_params(1, 2, 3), "any")
+    store.put_generated(b"g", 3, 1, generators.repeat_params(6, b"xyz"), "revision", one)
+    store.put(b"p", b"plain")
+    assert [(bytes(r.key), bytes(r.value)) for r in store.scan().collect()] == [(b"g", b"xyzxyz"), (b"h", b"".join(n.to_bytes(8, "little") for n in (1, 3, 5))), (b"p", b"plain")]
+    assert maintenance.is_ok(store.verify(deep=True))
+    assert store._rewrite({"log": store.table("log").withColumn("value", F.when(F.col("key") == F.lit(b"h"), F.lit(bytes(32))).otherwise(F.col("value")))}, store._commit())
+    assert maintenance.is_ok(store.verify()) and not maintenance.is_ok(store.verify(deep=True))
+
+
+def test_prepared_operations(spark, path):
+    store = Store(spark, path, SMALL)
+    big = bytes(range(256)) * 5
+    ready = store.prepare([("put", b"a", big), ("put", b"", b"x"), ("put", b"a", b"y", ("absent", None)), ("delete", b"none")])
+    assert store.get(b"a") is None
+    assert store.write_prepared_each(ready) == {0: "ok", 1: "invalid", 2: "conflict", 3: "noop"} and store.get(b"a") == big
+    with pytest.raises(InvalidArgument):
+        Store(spark, path + "-other", SMALL).write_prepared_each(ready)
+
+
+def test_sharded_store(spark, path):
+    from palimpsest.errors import Unsupported
+    from palimpsest.operators.routing import CustomRouter, Router
+    from palimpsest.plans.sharded import ShardedStore
+
+    store = ShardedStore(spark, path, 3, Router(2, "/"), SMALL)
+    keys = [b"ch/%d/%d" % (c, m) for c in range(4) for m in range(2)]
+    assert len(store.write_batch([("put", k, k * 20) for k in keys])) == 8 and len({store.router.shard_of_key(k, 3) for k in keys}) > 1
+    assert store.write_batch_each([("put", keys[0], b"x", ("absent", None)), ("delete", keys[7])]) == ["conflict", "ok"]
+    assert store.get(keys[3]) == keys[3] * 20 and store.get(keys[7]) is None and store.head(keys[0])[1] == len(keys[0]) * 20
+    assert [bytes(r.key) for r in store.scan().collect()] == keys[:7]
+    assert [bytes(r.key) for r in store.scan(reverse=True, limit=3).collect()] == keys[6:3:-1]
+    assert len(store.route(included(b"ch/1/"), excluded(b"ch/10"))) == 1 and [bytes(r.key) for r in store.scan_prefix(b"ch/1/").collect()] == keys[2:4]
+    assert {r.shard: r.records for r in store.stats().collect()}[None] == 7 and maintenance.is_ok(store.verify())
+    for shards, router in ((4, Router(2, "/")), (3, Router(2)), (3, CustomRouter("length", len))):
+        with pytest.raises(Unsupported):
+            ShardedStore(spark, path, shards, router)
 
 
 def test_chat(spark, path):
@@ -225,6 +307,18 @@ def test_group_commit_and_shared_reads(spark, path):
     assert [d.result() for d in done] == [["ok"]] * 6 + [["conflict", "noop"]]
     committer.flush()
     committer.close()
+    late = GroupCommitter(store, interval=1.0)
+    late.synced = time.monotonic() + 1000  # the first commit isn't durable at once
+    assert late.put(b"late", b"x") == "ok" and not store._commit()["durable"]
+    late.synced = 0
+    with late.lock:
+        late.lock.notify_all()
+    for _ in range(100):
+        if store._commit()["durable"]:
+            break
+        time.sleep(0.2)
+    assert store._commit()["durable"] and store.delete(b"late")  # nobody wrote or flushed
+    late.close()
     assert committer.stats.ops == 8 and committer.stats.batches < 8 and committer.stats.syncs >= 1 and store._commit()["durable"]
     reads = Coalescer(store)
     got = []
