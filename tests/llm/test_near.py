@@ -167,6 +167,34 @@ def test_repeats_with_a_frequent_shared_tail(spark):
     assert got == want
 
 
+def test_repeats_of_other_lengths_and_of_repeated_lines(spark):
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    long, short, line = some(130), some(90), some(23)
+    texts = [some(20) + long + some(20), some(5) + long + some(40), short + some(30), some(70) + short, line * 40 + some(9), some(11) + line * 9]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for least in (48, 100, 200):
+        where = defaultdict(set)
+        for i, w in enumerate(texts):
+            for k in range(len(w) - least + 1):
+                where[tuple(w[k : k + least])].add(i)
+        want = defaultdict(set)
+        for i, w in enumerate(texts):
+            for k in range(len(w) - least + 1):
+                if len(where[tuple(w[k : k + least])]) > 1:
+                    want[i].update(range(k, k + least))
+        got = defaultdict(set)
+        for r in suffix_dedup.repeats(docs, least=least).collect():
+            got[r.doc_id].update(range(r.begin_word, r.stop_word))
+        assert got == want
+
+
+def test_bits_of_the_keys_grow_with_the_label():
+    for n in (100, 10_000, 10**6, 10**8):
+        rotations, tables, bits = itq.layout(n)
+        assert n < 2**bits <= 2**30 and (1 - (1 - np.arccos(itq.ALIKE) / np.pi) ** bits) ** (rotations * tables) <= itq.MISSED
+
+
 def test_near_vectors_finds_the_links_of_all_pairs(spark):
     rng = np.random.default_rng(7)
     centre = rng.normal(size=(60, 64))
