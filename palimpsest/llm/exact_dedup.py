@@ -1,10 +1,11 @@
 """Exact dedup over a log-structured merge index of digests.
 
 * flush: every input split is a memtable; it is written as one run of (digest, id) rows sorted by
-  digest, with Parquet's Bloom filters and min/max statistics on the digest.
+  digest, with min/max statistics on it.
 * compact: runs are merged into one level that keeps the smallest id and the count of each digest.
-* filter: digests that occur more than once set bits of a bitmap of a fixed size. Texts whose digest
-  misses the bitmap are unique and never leave their scan.
+* filter: digests that occur more than once set bits of a bitmap of a fixed size, the level's filter.
+  Rows of the runs whose digest hits it give their ids to another such bitmap; texts whose id misses
+  that are unique, are not normalised again and never leave their scan.
 * verify: the remaining texts are grouped by their bytes, with map-side aggregation, so that a
   group of copies of any size shuffles one text per map task, and equal digests of different bytes
   are told apart.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FILTER_BITS, cannot_contain, cut, fresh, may_contain, text_of
+from .shared import FILTER_BITS, apart, cannot_contain, cut, fresh, may_contain, text_of
 
 #: Runs of the ASCII white space that normalisation replaces by one space.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -42,7 +43,7 @@ class DigestIndex:
         """Append one sorted run per input split."""
         rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("sha"))
         rows = rows.select("id", "sha", self.digest().alias("digest")).sortWithinPartitions("digest", "id")
-        self.runs.append(cut(rows, "run", **{"parquet.bloom.filter.enabled#digest": "true"}))
+        self.runs.append(cut(rows, "run"))
 
     def rows(self) -> DataFrame:
         out = self.runs[0]
@@ -53,15 +54,16 @@ class DigestIndex:
     def compact(self) -> DataFrame:
         """Merge all runs: (digest, id: the smallest, n), sorted by digest within its files."""
         merged = self.rows().groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-        self.level = cut(merged.sortWithinPartitions("digest"), "level", **{"parquet.bloom.filter.enabled#digest": "true"})
+        self.level = cut(merged.sortWithinPartitions("digest"), "level")
         return self.level
 
     def candidates(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, digest, norm) of the rows that may share a digest with another row, by the filter of repeated digests."""
+        """(id, digest, norm) of the rows that share a digest with another row, and of some others that the filters let pass."""
         level = self.level if self.level is not None else self.compact()
-        norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-        rows = norm.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", self.digest())
-        return may_contain(rows.select("id", "digest", "norm"), "digest", level.where("n > 1"), "digest", self.filter_bits)
+        hits = may_contain(self.rows().select("id", "digest"), "digest", level.where("n > 1"), "digest", self.filter_bits)
+        rows = may_contain(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", hits, "id", self.filter_bits)
+        norm = rows.select("id", normalised("text").alias("norm")).withColumn("sha", F.unhex(F.sha2("norm", 256)))
+        return norm.select("id", self.digest().alias("digest"), "norm")
 
 
 def exact_dedup(
@@ -77,7 +79,7 @@ def exact_dedup(
     texts are copies of each other. The row with the smallest id stays. Rows that repeat an id and a
     text are one document: they count in group_size and share ``kept``. A null id is larger than any
     other; in a group of null ids alone keep_id is null and all are kept. No rows give no rows.
-    Other columns of ``docs`` are not read.
+    Other columns of ``docs`` are not read; an id column named like one of the result gets an underscore.
     """
     index = DigestIndex(docs.sparkSession, digest_bits, filter_bits)
     index.flush(docs, id_col, text_col)
@@ -98,13 +100,13 @@ def exact_dedup(
             by_bytes = cut(by_bytes, "verified-texts")
         clash = cut(clash, "clash")
         alike = rows.join(clash, "digest", "left_anti").join(verified.where("n > 1"), "digest", "left")
-        apart = found.join(clash, "digest", "left_semi").join(by_bytes, ["digest", "norm"])
-        apart = apart.withColumn("sha", F.unhex(F.sha2("norm", 256)))
-        out = alike.unionByName(apart.select("digest", "id", "sha", "keep", "n"))
+        told = found.join(clash, "digest", "left_semi").join(by_bytes, ["digest", "norm"])
+        told = told.withColumn("sha", F.unhex(F.sha2("norm", 256)))
+        out = alike.unionByName(told.select("digest", "id", "sha", "keep", "n"))
     n = F.coalesce(F.col("n"), F.lit(1))
     keep = F.when(n == 1, F.col("id")).otherwise(F.col("keep"))
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("id").alias(apart(id_col, "keep_id", "group_size", "kept", "text_sha256")),
         keep.alias("keep_id"),
         n.alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"),

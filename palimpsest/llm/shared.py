@@ -66,6 +66,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def apart(name: str, *taken: str) -> str:
+    """``name``, with underscores added until it is none of ``taken`` (in any case): an id column named like a column of the result."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     """A text column where null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

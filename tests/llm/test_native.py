@@ -58,6 +58,15 @@ def test_secret_spans_match_python(spark, sf_dir):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secret_spans_of_null_and_repeated_ids_and_of_many_candidates(spark, monkeypatch):
+    texts = [(None, "token=abcdef"), (None, "none here"), (1, "password: 1234567"), (1, "token=uvwxyz and api_key=000000"), (2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for most in (secrets.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", most)
+        got = sorted((str(r.doc_id), str(r.text), r.found) for r in secrets.scan(docs).select("*", secrets.written(F.col("spans")).alias("found")).collect())
+        assert got == sorted([("None", "token=abcdef", "assign:0:12"), ("None", "none here", ""), ("1", "password: 1234567", "assign:0:17"), ("1", "token=uvwxyz and api_key=000000", "assign:0:12,assign:17:31"), ("2", "None", "")])
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{24,}") is secrets.ALL
     assert secrets.trigram_query("AKIA[A-Z]+") == ("and", "aki", "kia")
