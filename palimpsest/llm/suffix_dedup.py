@@ -19,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, cut, may_contain, text_of
+from .shared import apart, bounded_batches, cut, may_contain, text_of
 from .words import hashed, parts, rolling
 
 #: Least words of a repeated passage; words of a run; runs of which one is kept.
 LEAST, GRAM, WINDOW = 50, 16, 32
-#: Words to the left and right of a minimiser that are compared: minimisers come at least every WINDOW
-#: words, so that the matches of neighbouring ones overlap and long passages are found whole.
+#: Words to the left and right of a minimiser that are compared (to the right as many as ``least`` where that is more):
+#: minimisers come at least every WINDOW words, so that the matches of neighbouring ones overlap and long passages are found whole.
 LEFT, RIGHT = 32, 50
 #: Suffixes in one Arrow batch.
 ROWS = 20_000
@@ -92,7 +93,7 @@ SUFFIX = "after binary, node binary, place bigint, before binary, n_after int, n
 _SUFFIX = pa.schema([("after", pa.binary()), ("node", pa.binary()), ("place", pa.int64()), ("before", pa.binary()), ("n_after", pa.int32()), ("n_before", pa.int32())])
 
 
-def _suffixes():
+def _suffixes(ahead: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, 1):
@@ -105,9 +106,9 @@ def _suffixes():
                 node = part.column(0)
                 for k in range(0, len(place), ROWS):
                     t, p = text[k : k + ROWS], place[k : k + ROWS]
-                    at, n_after = offsets[t] + p, np.minimum(RIGHT, offsets[t + 1] - offsets[t] - p)
+                    at, n_after = offsets[t] + p, np.minimum(ahead, offsets[t + 1] - offsets[t] - p)
                     n_before = np.minimum(LEFT, p)
-                    right, left = np.arange(RIGHT), np.arange(LEFT)
+                    right, left = np.arange(ahead), np.arange(LEFT)
                     after = small[np.where(right < n_after[:, None], at[:, None] + right, -1)]
                     before = small[np.where(left < n_before[:, None], at[:, None] - 1 - left, -1)]
                     yield pa.RecordBatch.from_arrays(
@@ -131,12 +132,16 @@ _FOUND = pa.schema([*_SUFFIX, ("begin", pa.int64()), ("stop", pa.int64()), ("oth
 FOUND = SUFFIX + ", begin bigint, stop bigint, other binary"
 
 
-def _neighbours(least: int, edges: bool):
-    """Of rows in suffix order: matches (node, begin, stop, other), and with ``edges`` the suffixes whose neighbours lie in other tasks."""
+def _neighbours(least: int, edges: bool, ahead: int):
+    """Of rows in suffix order: matches (node, begin, stop, other), and with ``edges`` the suffixes whose neighbours lie in other tasks.
+
+    Of equal suffixes of one text the first stands for all, so that a text which repeats one line makes no
+    long run; their windows are marked with those of other texts.
+    """
 
     def matches(rows: pa.Table, done: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch | None:
         """Rows ``done`` against the row before and the row after their run of one node."""
-        after, before = _words(rows.column("after"), RIGHT), _words(rows.column("before"), LEFT)
+        after, before = _words(rows.column("after"), ahead), _words(rows.column("before"), LEFT)
         na, nb = rows.column("n_after").to_numpy(), rows.column("n_before").to_numpy()
         place, out = rows.column("place").to_numpy(), []
         for side in (first - 1, last):
@@ -160,14 +165,27 @@ def _neighbours(least: int, edges: bool):
         more = {f.name: (rows.column(f.name) if f.name in _SUFFIX.names else pa.nulls(len(rows), f.type)) for f in _FOUND}
         return pa.Table.from_pydict(more, schema=_FOUND).combine_chunks().to_batches()[0]
 
+    def repeated(rows: pa.RecordBatch, before: pa.RecordBatch | None) -> np.ndarray:
+        """Which rows are the same suffix of the same text as the row before them."""
+        out = np.ones(len(rows), bool)
+        out[0] = before is not None
+        for c in ("node", "after", "before"):
+            own = rows.column(rows.schema.get_field_index(c))
+            out[1:] &= pc.equal(own.slice(1), own.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False)
+            out[0] &= before is not None and before.column(before.schema.get_field_index(c))[0] == own[0]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None  # the last run, and the row before it
-        head = True
+        head, before = True, None
         for batch in batches:
-            if not len(batch):
-                continue
             for k in range(0, len(batch), ROWS):
-                new = pa.Table.from_batches([batch.slice(k, ROWS).cast(_SUFFIX)])
+                part = batch.slice(k, ROWS).cast(_SUFFIX)
+                again, before = repeated(part, before), part.slice(len(part) - 1)
+                part = part.filter(pa.array(~again))
+                if not len(part):
+                    continue
+                new = pa.Table.from_batches([part])
                 rows = (pa.concat_tables([kept, new]) if kept is not None else new).combine_chunks()
                 node = np.array(rows.column("node").to_pylist(), object)
                 starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
@@ -252,9 +270,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     is exclusive; overlapping passages of a text are one. ``other_id`` is a document that shares a part of it.
     Documents without such a passage have no row; a passage repeated within one document alone isn't one.
     Rows that repeat an id and a text are one document. Null texts are empty. Null ids are one document's.
+    An id column named like another one of the result gets an underscore; other columns are not read.
     """
-    if least < GRAM + WINDOW - 1 or least > RIGHT:
-        raise ValueError(f"least: {GRAM + WINDOW - 1} to {RIGHT}")
+    if least < GRAM + WINDOW - 1:
+        raise ValueError(f"least: {GRAM + WINDOW - 1} at least")
+    ahead = max(RIGHT, least)
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), node_of(text_col).alias("node"), text_of(text_col).alias("text"))
     signed = rows.select("node", "text").mapInArrow(_anchors(), "node binary, words bigint, grams array<bigint>, places array<bigint>")
@@ -265,12 +285,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     asked = cut(asked, "asked")
     texts = may_contain(rows.select("node", "text"), "node", asked, "node").groupBy("node").agg(F.first("text").alias("text"))
     held = cut(texts.join(asked, "node").select("node", "text", "places"), "held")
-    suffixes = held.mapInArrow(_suffixes(), SUFFIX)
+    suffixes = held.mapInArrow(_suffixes(ahead), SUFFIX)
     order = ["after", "before", "node", "place"]  # of equal suffixes, those with the most words before in common are neighbours
     sorted_ = cut(suffixes, "suffixes").repartitionByRange("after", "before", "node").sortWithinPartitions(*order)
-    found = cut(sorted_.mapInArrow(_neighbours(least, True), FOUND), "found")
+    found = cut(sorted_.mapInArrow(_neighbours(least, True, ahead), FOUND), "found")
     ends = found.where("begin is null").select(*_SUFFIX.names)  # some rows a task: where one task's suffixes meet the next one's
-    met = ends.repartitionByRange(1, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, False), FOUND)
+    met = ends.repartitionByRange(1, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, False, ahead), FOUND)
     spans = found.unionByName(cut(met, "met")).where("begin is not null").select("node", "begin", "stop", "other")
 
     ids = cut(rows.select("id", "node").distinct(), "ids")
@@ -285,7 +305,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     parts_ = parts_.where(~F.col("id").eqNullSafe(F.col("other_id"))).select("id", "begin", "stop", "other_id")
     all_ = ids.join(whole, "node").select("id", F.lit(0).cast("long").alias("begin"), F.col("words").alias("stop"), F.when(F.col("id").eqNullSafe(F.col("low")), F.col("high")).otherwise(F.col("low")).alias("other_id"))
     out = parts_.unionByName(all_)
-    return out.select(F.col("id").alias(id_col), F.col("begin").alias("begin_word"), F.col("stop").alias("stop_word"), (F.col("stop") - F.col("begin")).alias("n_words"), "other_id")
+    return out.select(F.col("id").alias(apart(id_col, "begin_word", "stop_word", "n_words", "other_id")), F.col("begin").alias("begin_word"), F.col("stop").alias("stop_word"), (F.col("stop") - F.col("begin")).alias("n_words"), "other_id")
 
 
 def islands(spans: DataFrame) -> DataFrame:
