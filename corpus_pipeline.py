@@ -2,7 +2,7 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame,
 which is written as Parquet and read again as the next one's ``docs``. All but the last return the
-columns of ``documents``.
+columns of ``documents``, and no others that a table may have.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, cannot_contain, connected_components, cut, discard, fresh, may_contain, text_of
+from .shared import apart, bounded_batches, cannot_contain, connected_components, cut, discard, fresh, may_contain, text_of
 from .words import hashed, mix, parts, rolling
 
 #: Words in a shingle, and the least similarity of a link.
@@ -322,10 +322,11 @@ def near_dedup(
     ``alike``; a class is what links connect, and its document with the smallest id is kept. Texts without
     words (null, empty, white space) are copies of each other. Rows that repeat an id and a text are one
     document: they count in class_size and share ``kept``. A null id is larger than any other; a class of
-    null ids alone has a null class_id and keeps all. No rows give no rows.
+    null ids alone has a null class_id and keeps all. An id column named like another one of the result gets an
+    underscore; other columns are not read. No rows give no rows.
     """
     out = _judged(docs, id_col, text_col, (), alike=alike, bands=bands, rows=rows, width=width, sigmas=sigmas)
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
+    return out.select(F.col("id").alias(apart(id_col, "class_id", "class_size", "kept")), "class_id", "class_size", "kept")
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ...], **options) -> DataFrame:

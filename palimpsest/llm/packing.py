@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import apart, bounded_batches
 
 #: White space that Arrow and the tokenizers may see differently: texts with it are encoded in one go.
 ODD = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
@@ -233,7 +233,8 @@ def pack(
 
     A document is its text's ids and ``end_id``; a null text is ``end_id`` alone. Each id is in one piece,
     pieces keep the order of rows, and a sequence has at most ``size`` ids without gaps. Rows that repeat
-    an id are documents of their own; a null id is passed on; no rows give no rows. Sequence ids are unique
+    an id are documents of their own; a null id is passed on; an id column named like another one of the result gets
+    an underscore; other columns are not read; no rows give no rows. Sequence ids are unique
     over all tasks and grow with the split's number; a task that is run again gives the same rows.
     """
 
@@ -257,7 +258,8 @@ def pack(
             yield give(pieces)
 
     bounded_batches(docs.sparkSession, 32)  # words are encoded once per batch
-    rows = docs.select(F.col(id_col), F.col(text_col))
+    named = apart(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    rows = docs.select(F.col(id_col).alias(named), F.col(text_col))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, fresh
 
 #: At most this many labelled rows fit a model: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -132,7 +132,7 @@ def _mapped(docs: DataFrame, text_col: str, model: Trees | None) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name != text_col]
-    kind = StructType([*kept, *StructType.fromDDL("score double" if model else "features array<double>")])
+    kind = StructType([*kept, *StructType.fromDDL(f"`{fresh(docs, 'score')}` double" if model else "features array<double>")])
     schema, place = to_arrow_schema(kind), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``score``: the probability of label 1; null texts are empty and get a score too."""
+    """``docs`` without its text, with ``score``: the probability of label 1; null texts are empty and get a score too.
+
+    All other columns stay; where one is named score, the new one is score_. No rows give no rows.
+    """
     return _mapped(docs, text_col, model)
 
 

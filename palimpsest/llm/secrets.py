@@ -16,7 +16,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, text_of
+from .shared import cannot_contain, cut, fresh, may_contain, text_of
 
 
 @dataclass(frozen=True)
@@ -245,8 +245,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     if vocabulary:
         index = cut(build_index(docs, vocabulary, id_col, text_col), "postings")
         found = cut(candidates(index, vocabulary, queries).toDF(doc, mask), "candidates")
-        side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-        rows = docs.join(side, docs[id_col].eqNullSafe(F.col(doc)), "left")
+        if found.count() <= BROADCAST_ROWS:
+            rows = docs.join(F.broadcast(found), docs[id_col].eqNullSafe(F.col(doc)), "left")
+        else:  # only texts that may be candidates move
+            may, never = may_contain(docs, id_col, found, doc), cannot_contain(docs, id_col, found, doc)
+            rows = may.join(found, may[id_col].eqNullSafe(F.col(doc)), "left")
+            rows = rows.unionByName(never.withColumn(doc, F.lit(None).cast(found.schema[doc].dataType)).withColumn(mask, F.lit(None).cast("long")))
         met = F.coalesce(F.col(mask), met)
     each = []
     for r, rule in enumerate(rules):

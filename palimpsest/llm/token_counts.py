@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import apart, bounded_batches
 
 #: The pattern of pre-tokens that goes with byte-level rank files, as a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -191,14 +191,15 @@ TREE = "text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens lon
 def build_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, leaf_chars, leaf_tokens, n_tokens): each row's text (null: empty) and the leaves of its tree.
 
-    Rows that repeat an id are texts of their own; null ids are passed on; no rows give no rows.
+    Rows that repeat an id are texts of their own; null ids are passed on; an id column named like another
+    one of the result gets an underscore; other columns are not read; no rows give no rows.
     """
 
     def work(text: str | None) -> tuple:
         tree = Tree.of(text or "", counter(ranks_path))
         return text or "", *tree.leaf_sums(), tree.tokens
 
-    return _mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), "text", TREE, work)
+    return _mapped(docs.select(F.col(id_col).alias(apart(id_col, "text", "leaf_chars", "leaf_tokens", "n_tokens", "reencoded", "edits")), F.col(text_col).alias("text")), "text", TREE, work)
 
 
 def apply_edits(trees: DataFrame, ranks_path: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:

@@ -58,6 +58,8 @@ def test_trees_are_kept_and_edited_later(spark):
     out = sorted((r.text, r.n_tokens, sum(r.leaf_tokens)) for r in token_counts.apply_edits(trees, RANKS).collect())
     assert out == [("hello", 1, 1), ("hello b", 2, 2), ("hello b", 2, 2)]
     assert token_counts.apply_edits(trees.limit(0), RANKS).count() == 0
+    clash = token_counts.build_trees(docs.withColumnRenamed("doc_id", "N_tokens").withColumn("leaf_chars", token_counts.F.lit(1)), RANKS, "N_tokens")
+    assert sorted((str(r.N_tokens_), r.n_tokens) for r in clash.collect()) == [("1", 0), ("1", 2), ("None", 2)]
 
 
 def test_quality_is_right_on_held_out_rows(spark, sf_dir):
@@ -76,6 +78,30 @@ def test_quality_without_labels_and_with_odd_rows(spark):
     out = quality.score(docs.drop("score"), model).collect()
     assert len(out) == 4 and {r.score for r in out} == {0.5}
     assert quality.score(docs.drop("score").limit(0), model).count() == 0
+    clash = quality.score(docs, model)
+    assert clash.columns == ["doc_id", "score", "score_"] and {(r.score, r.score_) for r in clash.collect()} == {(s, 0.5) for s in "stu"}
+    assert quality.keep_good(docs, model, threshold=0.4).columns == docs.columns and quality.keep_good(docs, model).count() == 0
+
+
+def test_splits_are_the_best_of_all():
+    """The first tree's root against all features and thresholds, one by one."""
+    rng = np.random.default_rng(4)
+    for _ in range(10):
+        x = np.round(rng.normal(size=(300, 4)), 1)
+        y = (x[:, rng.integers(4)] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+        m = quality.fit(x, y, trees=1)
+        p = 1 / (1 + np.exp(-m.base))
+        g, h = p - y, np.full(300, p * (1 - p))
+        term = lambda k: g[k].sum() ** 2 / (h[k].sum() + quality.RIDGE)
+
+        def gain(f, t):
+            low = x[:, f] <= t
+            if h[low].sum() < quality.LEAST or h[~low].sum() < quality.LEAST:
+                return 0
+            return term(low) + term(~low) - term(np.ones(300, bool))
+
+        best = max(gain(f, t) for f in range(4) for t in np.unique(x[:, f]))
+        assert abs(gain(m.feature[0][0], m.threshold[0][0]) - best) < 1e-9 * max(1, best)
 
 
 def test_trees_in_arrays_go_the_same_way_as_one_by_one():
@@ -141,6 +167,9 @@ def test_packing_keeps_each_id_once(spark, sf_dir):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check_pieces(packing.pack(docs.coalesce(1), WORDS, size=64, look_ahead=1).collect(), texts, 64)
     assert packing.pack(docs.limit(0), WORDS).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (1, None), (None, None)], "start long, text string")
+    out = packing.pack(odd, WORDS, id_col="start").collect()
+    assert sorted((str(r.start_), r.start, r.length) for r in out) == [("1", 0, 1), ("1", 0, 3), ("1", 0, 3), ("None", 0, 1), ("None", 0, 3)]
 
 
 def test_cuts_are_the_best():
