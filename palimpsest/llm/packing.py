@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apart, bounded_batches
+from .shared import apart, bounded_batches, give_back
 
 #: White space that Arrow and the tokenizers may see differently: texts with it are encoded in one go.
 ODD = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
-#: Bytes of text whose words are encoded together, and words in one call.
-BYTES, WORDS = 24 << 20, 4096
+#: Bytes of text whose words are encoded together, words in one call, and words of texts whose ids are laid out at a time.
+BYTES, WORDS, LAID = 16 << 20, 4096, 1 << 17
 #: Marks that can follow a word of letters; they are tokens of their own.
 AFTER = ".,!?#$%&*|;:"
 #: Tokens that one run of the dynamic programme looks at; all but the last windows of a run are final.
@@ -104,8 +104,8 @@ class Encoder:
         begins[tailed, 1], sizes[tailed, 1] = at(mark_sizes)[index] + len(letters) + len(odd), mark_sizes[index]
         return np.concatenate([letters, odd, marks]), begins, sizes
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text; null counts as empty."""
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; null counts as empty. Ids of many texts never stand in memory together."""
         texts = pc.fill_null(texts, "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
         words = pc.utf8_split_whitespace(texts)
@@ -113,13 +113,21 @@ class Encoder:
         coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         flat, begins, sizes = self._words(coded.dictionary)
         index = coded.indices.to_numpy()
-        size = sizes[index].ravel()
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(begins[index].ravel() - upto[:-1], size) + np.arange(upto[-1])]
-        out = np.split(ids, upto[2 * (offsets[1:-1] - offsets[0])]) if len(texts) else []
-        for k in odd.tolist():
-            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
-        return out
+        offsets = offsets.astype(np.int64) - offsets[0]
+        odd, text = set(odd.tolist()), 0
+        while text < len(texts):
+            stop = max(text + 1, int(np.searchsorted(offsets, offsets[text] + LAID, "right")) - 1)  # or one long text
+            own = index[offsets[text] : offsets[stop]]
+            size = sizes[own].ravel()
+            upto = np.concatenate([[0], np.cumsum(size)])
+            ids = flat[np.repeat(begins[own].ravel() - upto[:-1], size) + np.arange(upto[-1])]
+            ends = upto[2 * (offsets[text : stop + 1] - offsets[text])]
+            for k in range(text, stop):
+                if k in odd:
+                    yield np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield ids[ends[k - text] : ends[k - text + 1]]
+            text = stop
 
 
 def places(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,8 +264,10 @@ def pack(
                         yield give(pieces)
         if pieces := packer.pack(True):
             yield give(pieces)
+        del packer, encoder
+        give_back()
 
-    bounded_batches(docs.sparkSession, 32)  # words are encoded once per batch
+    bounded_batches(docs.sparkSession, 16)  # words are encoded once per batch
     named = apart(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     rows = docs.select(F.col(id_col).alias(named), F.col(text_col))
     from pyspark.sql.pandas.types import to_arrow_schema
