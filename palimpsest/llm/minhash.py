@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import apart, bounded_batches, cannot_contain, connected_components, cut, discard, fresh, may_contain, text_of
+from .shared import apart, bounded_batches, cannot_contain, connected_components, cut, discard, fresh, give_back, may_contain, text_of
 from .words import hashed, mix, parts, rolling
 
 #: Words in a shingle, and the least similarity of a link.
@@ -155,6 +155,7 @@ def _sign(bands: int, rows: int, width: int):
                         offsets = np.concatenate([[0], np.cumsum(some * x.shape[1])]).astype(np.int32)
                         lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[some].ravel())))
                     yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.binary()), *lists], schema=kind)
+        give_back()
 
     return run
 
@@ -179,6 +180,7 @@ def _verify(width: int):
                     own = part.slice(k, 1 << 14)
                     alike = overlaps(own.column(2), own.column(3), width)
                     yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.binary()), own.column(1).cast(pa.binary()), pa.array(alike)], schema=kind)
+        give_back()
 
     return run
 
@@ -202,6 +204,7 @@ def _bags(width: int):
                     pairs = pa.StructArray.from_arrays([pa.array(shingle.view(np.int64)), pa.array(weight)], ["shingle", "weight"])
                     total = np.bincount(text, weight, len(own)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.binary()), pa.array(total), pa.ListArray.from_arrays(ends, pairs)], schema=kind)
+        give_back()
 
     return run
 

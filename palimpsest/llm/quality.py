@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, fresh
+from .shared import bounded_batches, fresh, give_back
 
 #: At most this many labelled rows fit a model: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -143,6 +143,7 @@ def _mapped(docs: DataFrame, text_col: str, model: Trees | None) -> DataFrame:
             own = [c for i, c in enumerate(batch.columns) if i != place]
             new = pa.array(model.score(x)) if model else pa.array(list(x), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*own, new.cast(schema.field(len(own)).type)], schema=schema)
+        give_back()
 
     return docs.mapInArrow(run, kind)
 
@@ -187,5 +188,6 @@ def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold:
             if len(batch):
                 x = np.stack([features(t.as_py() or "") for t in batch.column(place)])
                 yield batch.filter(pa.array(model.score(x) >= threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
