@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -11,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Seconds between two releases of the executors' heaps by ``cut``, and when each application's last one was.
+RELEASE_EVERY = 8.0
+_released: dict[str, float] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +46,8 @@ def cut(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.options(**options).parquet(path)
+    if time.monotonic() - _released.get(spark.sparkContext.applicationId, 0.0) >= RELEASE_EVERY:
+        release_heaps(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
     return out
@@ -60,6 +66,17 @@ def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """The executors' JVMs give the system the heap that they don't use.
+
+    A heap that many stages have grown stays as large as the largest of them made it, and the Python workers of later ones
+    come on top. A full collection shrinks it. There is a task for each core, so that every idle executor has one.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+    _released[spark.sparkContext.applicationId] = time.monotonic()
+
+
 def give_back() -> None:
     """Memory that this Python worker holds free goes back to the system: the worker lives on for the stages to come."""
     pa.default_memory_pool().release_unused()
