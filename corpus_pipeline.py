@@ -2,7 +2,7 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame,
 which is written as Parquet and read again as the next one's ``docs``. All but the last return the
-columns of ``documents``, and no others that a table may have.
+columns of ``documents``, and no others that a table may have. Each begins with the heap that the ones before it need no more released.
 """
 
 from __future__ import annotations
@@ -12,34 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import exact_dedup, minhash, mixing, packing, quality
 from palimpsest.llm.queries import ROOT, tempered_weights
-from palimpsest.llm.shared import cut
+from palimpsest.llm.shared import cut, release_heaps
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    release_heaps(spark)
     model = quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs.select(*COLUMNS), model)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
+    release_heaps(spark)
     return exact_dedup.drop_copies(docs.select(*COLUMNS))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays."""
+    release_heaps(spark)
     return minhash.drop_near(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat or go so that sources weigh as the root of their size; rows are shuffled."""
+    release_heaps(spark)
     return mixing.mix(docs.select(*COLUMNS), tempered_weights(docs), seed=8).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens, in the shuffled order."""
+    release_heaps(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

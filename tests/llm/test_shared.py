@@ -2,6 +2,8 @@
 
 import gc
 
+import corpus_pipeline
+import pytest
 from palimpsest.llm import shared
 
 
@@ -28,3 +30,12 @@ def test_cut_gives_the_heap_back_now_and_then(spark, monkeypatch):
     at = shared._released[spark.sparkContext.applicationId]
     shared.cut(spark.range(10), "ten")
     assert shared._released[spark.sparkContext.applicationId] == at
+
+
+@pytest.mark.parametrize("name", ["mix_sources", "packing"])
+def test_stages_without_a_cut_begin_with_the_heap_given_back(spark, name):
+    docs = spark.createDataFrame([(1, "a b c", "en", "web", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    shared.release_heaps(spark)
+    at = shared._released[spark.sparkContext.applicationId]
+    dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+    assert shared._released[spark.sparkContext.applicationId] > at
