@@ -4,7 +4,7 @@ import gc
 
 import corpus_pipeline
 import pytest
-from palimpsest.llm import shared
+from palimpsest.llm import minhash, shared
 
 
 def garbage(spark):
@@ -39,3 +39,12 @@ def test_stages_without_a_cut_begin_with_the_heap_given_back(spark, name):
     at = shared._released[spark.sparkContext.applicationId]
     dict(corpus_pipeline.STAGES)[name](spark, docs, "")
     assert shared._released[spark.sparkContext.applicationId] > at
+
+
+def test_near_dedup_gives_the_heap_back_between_its_tables(spark, monkeypatch):
+    monkeypatch.setattr(shared, "RELEASE_EVERY", 0.0)
+    shared.release_heaps(spark)
+    at = shared._released[spark.sparkContext.applicationId]
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.near_dedup(docs).collect()) == [(1, 1, 2, True), (2, 1, 2, False)]
+    assert shared._released[spark.sparkContext.applicationId] > at
