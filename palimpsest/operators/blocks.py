@@ -36,30 +36,47 @@ def digest(block: Column) -> Column:
     return F.sha2(block, 256)
 
 
+def distinct(blocks: DataFrame) -> DataFrame:
+    """(raw_len, block): every block once, without an id. Blocks are hashed in their task first, and cross the network once."""
+    return blocks.select("block").distinct().select(F.octet_length("block").alias("raw_len"), "block")
+
+
+def collide(blocks: DataFrame) -> bool:
+    """Whether two different blocks have one digest and length: all bytes are compared, once."""
+    named = distinct(blocks).groupBy(digest(F.col("block")).alias("digest"), "raw_len").count()
+    return named.agg(F.count_if(F.col("count") > 1)).first()[0] > 0
+
+
 def dedupe(
-    blocks: DataFrame, objects: DataFrame | None = None, base: int = 0, share: bool = True, held: list[DataFrame] | None = None
+    blocks: DataFrame, objects: DataFrame | None = None, base: int = 0, share: bool = True, held: list[DataFrame] | None = None, attach: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(references, new objects): equal blocks share an object, equal in bytes, not in digest alone.
 
-    Grouping by digest, length and bytes is aggregated before the shuffle: however often a block occurs, a
-    task sends it once. ``objects`` are those stored before; new ones get ids after ``base`` in the order of
-    first occurrence (key, ord). Without ``share`` every block is an object of its own.
+    Where no two blocks ``collide``, which is seen from their bytes, digest and length stand for them from then
+    on: rows without bytes are grouped, numbered and joined, and bytes join new objects at the end, if asked for
+    (``attach``). Else all is done by the bytes. Grouping is aggregated before the shuffle: however often a
+    block occurs, a task sends it once. ``objects`` are those stored before; new ones get ids after ``base`` in
+    the order of first occurrence (key, ord). Without ``share`` every block is an object of its own.
     """
     named = blocks.withColumn("digest", digest(F.col("block"))).withColumn("raw_len", F.octet_length("block"))
     by = ["digest", "raw_len", "block"]
     if not share:
         new = numbered(named.withColumn("first", F.struct("key", "ord")), "first", "object_id", base, held)
-        return new.select("key", "ord", "begin", "stop", "object_id"), new.select("object_id", *by)
+        return new.select("key", "ord", "begin", "stop", "object_id"), new.select("object_id", *(by if attach else by[:2]))
+    alike = collide(blocks if objects is None else blocks.select("block").unionByName(objects.select("block")))
+    by = by if alike else by[:2]
     groups = named.groupBy(*by).agg(F.min(F.struct("key", "ord")).alias("first"))
     if objects is not None:
         old = objects.select(*by, F.col("object_id").alias("old_id"))
         groups = groups.join(old, by, "left")
     else:
         groups = groups.withColumn("old_id", F.lit(None).cast("long"))
-    fresh = numbered(groups.where("old_id is null").drop("old_id"), "first", "object_id", base, held)
-    known = groups.where("old_id is not null").select(*by, F.col("old_id").alias("object_id")).unionByName(fresh.select(*by, "object_id"))
+    fresh = numbered(groups.where("old_id is null").drop("old_id"), "first", "object_id", base, held).select("object_id", *by)
+    known = groups.where("old_id is not null").select(*by, F.col("old_id").alias("object_id")).unionByName(fresh)
     refs = named.join(known, by).select("key", "ord", "begin", "stop", "object_id")
-    return refs, fresh.select("object_id", *by)
+    if attach and not alike:
+        fresh = fresh.join(named.groupBy(*by).agg(F.first("block").alias("block")), by)
+    return refs, fresh.select("object_id", "digest", "raw_len", *(["block"] if attach else []))
 
 
 def refcounts(refs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -102,14 +102,19 @@ def candidate_report(candidates: DataFrame, objects: DataFrame, refs: DataFrame)
     there = objects.select("object_id", F.col("digest").alias("own_digest"), F.col("raw_len").alias("own_len"))
     named = refs.select("object_id").distinct().withColumn("named", F.lit(True))
     rows = candidates.join(there, "object_id", "left").join(named, "object_id", "left")
-    gone = F.col("own_len").isNull()
-    status = (
-        F.when(F.col("object_id") == 0, "dangling")
-        .when(gone & F.col("named").isNull(), "stale")
-        .when(gone | (F.col("digest") != F.col("own_digest")) | (F.col("raw_len") != F.col("own_len")), "dangling")
+    status = candidate_status(F.col("object_id"), F.col("named").isNotNull(), F.struct("digest", "raw_len"), F.struct(F.col("own_digest").alias("digest"), F.col("own_len").alias("raw_len")))
+    return rows.select("object_id", "digest", "raw_len", status.alias("status"))
+
+
+def candidate_status(object_id: Column, named: Column, says: Column, own: Column) -> Column:
+    """The status of a candidate that says (digest, raw_len) of an object, beside the object's own, null if it is gone."""
+    gone = own["raw_len"].isNull()
+    return (
+        F.when(object_id == 0, "dangling")
+        .when(gone & ~named, "stale")
+        .when(gone | (says["digest"] != own["digest"]) | (says["raw_len"] != own["raw_len"]), "dangling")
         .otherwise("live")
     )
-    return rows.select("object_id", "digest", "raw_len", status.alias("status"))
 
 
 def missing_params(units: DataFrame, params: DataFrame) -> DataFrame:
@@ -137,28 +142,52 @@ def dangling_sources(records: DataFrame, sources: DataFrame) -> DataFrame:
     return records.where("source_id is not null").join(sources.select("source_id"), "source_id", "left_anti").select("source_id").distinct()
 
 
+def reconciled(refs: DataFrame, objects: DataFrame, stored: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What all tables say of each object, one row an id: references with least and most length, objects, counts and candidates as lists.
+
+    Each table is read once, and rows without bytes are shuffled once. Null ids are nobody's: a row each table.
+    """
+    size, said = (F.col("stop") - F.col("begin")).cast("long"), F.struct("digest", F.col("raw_len").cast("long").alias("raw_len"))
+    parts = {"ref": (refs, "size", size), "own": (objects, "object", said), "count": (stored, "count", F.struct(F.col("refs").cast("long").alias("refs"))), "says": (candidates, "candidate", said)}
+    rows = None
+    for tag, (table, name, value) in parts.items():
+        one = table.select(F.col("object_id").cast("long").alias("object_id"), F.lit(tag).alias("tag"), value.alias(name))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    return rows.groupBy("object_id", F.when(F.col("object_id").isNull(), F.col("tag")).alias("of")).agg(
+        F.count_if(F.col("tag") == "ref").alias("refs"), F.min("size").alias("least"), F.max("size").alias("most"),
+        F.collect_list("object").alias("objects"), F.collect_list(F.when(F.col("tag") == "count", F.col("count"))).alias("counts"), F.collect_list("candidate").alias("candidates"),
+    )
+
+
 def verify(
     refs: DataFrame, objects: DataFrame, stored: DataFrame, candidates: DataFrame, units: DataFrame | None = None, params: dict[int, bytes] | None = None,
     more: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """(problem, n, fatal): orphans and stale candidates are no errors; each row of ``more`` is one."""
-    status = candidate_report(candidates, objects, refs).groupBy("status").agg(F.count("*").alias("n"))
-    parts = {
-        "missing_object": (missing_objects(refs, objects), True),
-        "refcount": (refcount_drift(refs, objects, stored), True),
-        "length": (length_conflicts(refs, objects), True),
-        "orphan": (orphans(refs, objects, stored), False),
-        **{name: (rows, True) for name, rows in (more or {}).items()},
+    """(problem, n, fatal): orphans and stale candidates are no errors; each row of ``more`` is one.
+
+    The counts are those of ``missing_objects``, ``refcount_drift``, ``length_conflicts``, ``orphans`` and
+    ``candidate_report``, from one pass over the tables.
+    """
+    rows = reconciled(refs, objects, stored, candidates)
+    there, named, own, counts = F.size("objects") > 0, F.col("refs") > 0, F.col("objects"), F.col("counts")
+    drift = F.when(F.size(counts) == 0, named.cast("int")).otherwise(F.size(F.filter(counts, lambda c: F.coalesce(c["refs"], F.lit(0)) != F.col("refs"))))
+    off = F.size(F.filter(own, lambda o: (F.col("least") != F.col("most")) | (F.col("least") != o["raw_len"])))
+    lost = F.array(F.struct(F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("raw_len")))
+    status = F.flatten(F.transform("candidates", lambda c: F.transform(F.when(there, own).otherwise(lost), lambda o: candidate_status(F.col("object_id"), named, c, o))))
+    found = {
+        "missing_object": ((named & ~there).cast("int"), True),
+        "refcount": (F.when(there, drift), True),
+        "length": (F.when(named, off), True),
+        "orphan": (F.when(named, 0).otherwise(F.size(own)) + F.when(there, 0).otherwise(F.size(counts)), False),
+        "stale_candidate": (F.size(F.filter("status", lambda x: x == "stale")), False),
+        "dangling_candidate": (F.size(F.filter("status", lambda x: x == "dangling")), True),
     }
-    if units is not None:
-        parts["unit"] = (bad_units(units, params), True)
-    out = None
-    for name, (rows, fatal) in parts.items():
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n", F.lit(fatal).alias("fatal"))
-        out = one if out is None else out.unionByName(one)
-    found = {s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)) for s in ("stale", "dangling")}
-    both = status.agg(F.array(*[F.struct(F.lit(f"{s}_candidate").alias("problem"), n.alias("n"), F.lit(s == "dangling").alias("fatal")) for s, n in found.items()]).alias("r"))
-    return out.unionByName(both.select(F.explode("r").alias("r")).select("r.*"))
+    sums = rows.withColumn("status", status).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(name) for name, (n, _) in found.items()])
+    each = F.array(*[F.struct(F.lit(name).alias("problem"), F.col(name).alias("n"), F.lit(fatal).alias("fatal")) for name, (_, fatal) in found.items()])
+    out = sums.select(F.explode(each).alias("r")).select("r.*")
+    for name, table in {**(more or {}), **({} if units is None else {"unit": bad_units(units, params)})}.items():
+        out = out.unionByName(table.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n", F.lit(True).alias("fatal")))
+    return out
 
 
 def is_ok(report: DataFrame) -> bool:

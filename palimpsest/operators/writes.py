@@ -24,27 +24,32 @@ def validation_error(key: Column, value: Column, op: Column, config: Config) ->
     )
 
 
+#: Numbered rows that a task reads, about.
+TASK_ROWS = 100_000
+
+
 def numbered(rows: DataFrame, order: str, name: str, base: int = 0, held: list[DataFrame] | None = None) -> DataFrame:
     """``rows`` numbered base + 1, base + 2, ... in the order of a unique column, without a single-partition window.
 
-    Rows are dealt out by range and numbered within their partition; the partitions' sizes (one number
-    each) give the offsets, as a table of one row a partition. The dealt rows stay cached, so that they are
-    dealt out once; ``held`` gets them, for the caller to release.
+    Rows are dealt out by range, sorted and numbered within their partition where they are; the partitions'
+    sizes (one number each) give the offsets, as a table of one row a partition. The dealt rows stay cached,
+    so that they are dealt out once; ``held`` gets them, for the caller to release.
     """
-    dealt = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id())
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)  # the partition, and the rows before in it
     dealt = dealt.persist()
     if held is not None:
         held.append(dealt)
-    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy(part.alias("_part")).count().collect()}
     offsets, at = [], base
-    for part in sorted(sizes):
-        offsets.append((part, at))
-        at += sizes[part]
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    for n in sorted(sizes):
+        offsets.append((n, at))
+        at += sizes[n]
     if not offsets:
         return rows.withColumn(name, F.lit(None).cast("long"))
-    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part int, _at long"))  # a row a partition
-    return dealt.withColumn("_within", within).join(first, "_part").withColumn(name, F.col("_at") + F.col("_within")).drop("_part", "_at", "_within")
+    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part long, _at long"))  # a row a partition
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, (at - base) // TASK_ROWS)  # small parts are read together, or each would write a file for every part of the next shuffle
+    return dealt.coalesce(tasks).withColumn("_part", part).join(first, "_part").withColumn(name, F.col("_at") + within + 1).drop("_part", "_at", "_place")
 
 
 def effective(ops: DataFrame, keep_history: bool = True) -> DataFrame:
