@@ -297,7 +297,7 @@ def kv_block_dedupe(spark, sf_dir):
 
 @query(BLOCKS + "SELECT object_id, digest, CAST(raw_len AS BIGINT) AS raw_len FROM objects")
 def kv_objects(spark, sf_dir):
-    return fixtures.block_store(spark, sf_dir)[1].select("object_id", "digest", *long("raw_len"))
+    return fixtures.block_store(spark, sf_dir, attach=False)[1].select("object_id", "digest", *long("raw_len"))
 
 
 @query(BLOCKS + "SELECT object_id, count(*) AS refs FROM refs GROUP BY object_id")
@@ -307,12 +307,12 @@ def kv_refcounts(spark, sf_dir):
 
 @query(BLOCKS + "SELECT digest, CAST(raw_len AS BIGINT) AS raw_len, count(*) AS ids FROM objects GROUP BY digest, raw_len")
 def kv_candidates(spark, sf_dir):
-    return blocks.candidates(fixtures.block_store(spark, sf_dir)[1]).select("digest", *long("raw_len"), F.size("ids").cast("long").alias("ids"))
+    return blocks.candidates(fixtures.block_store(spark, sf_dir, attach=False)[1]).select("digest", *long("raw_len"), F.size("ids").cast("long").alias("ids"))
 
 
 @query(BLOCKS + "SELECT count(*) AS blocks, CAST(sum(stop - begin) AS BIGINT) AS logical_bytes, (SELECT CAST(sum(raw_len) AS BIGINT) FROM objects) AS stored_bytes FROM refs")
 def kv_dedupe_savings(spark, sf_dir):
-    refs, objects = fixtures.block_store(spark, sf_dir)
+    refs, objects = fixtures.block_store(spark, sf_dir, attach=False)
     one = refs.agg(F.count("*").alias("blocks"), F.sum(F.col("stop") - F.col("begin")).alias("logical_bytes"))
     total = objects.agg(F.sum("raw_len")).first()[0] or 0
     return one.withColumn("stored_bytes", F.lit(total).cast("long"))
@@ -355,7 +355,7 @@ SELECT key, count(*) AS units, CAST(count(*) FILTER (WHERE counted) AS BIGINT) A
 FROM first GROUP BY key""")
 def kv_inspect_space(spark, sf_dir):
     """What each key's units take when all are stored raw."""
-    refs, objects = fixtures.block_store(spark, sf_dir)
+    refs, objects = fixtures.block_store(spark, sf_dir, attach=False)
     raw = objects.select("object_id", F.lit("raw").alias("codec"), "raw_len", F.col("raw_len").alias("body_len"), F.lit(0).cast("long").alias("aux_id"))
     space = blocks.record_space(blocks.inspect(refs, raw, blocks.refcounts(refs)))
     return space.select("key", *long("units", "objects", "bodies", "logical_len", "headers", "stored"))
@@ -424,7 +424,7 @@ SELECT object_id, CAST(min(stop - begin) AS BIGINT) AS least, CAST(max(stop - be
 FROM refs JOIN own USING (object_id) GROUP BY object_id HAVING min(stop - begin) <> max(stop - begin) OR min(stop - begin) <> any_value(raw_len)""")
 def kv_length_conflicts(spark, sf_dir):
     """Objects whose own length (planted: one more where the id % 101 is 0) is not the one that references say."""
-    refs, objects = fixtures.block_store(spark, sf_dir)
+    refs, objects = fixtures.block_store(spark, sf_dir, attach=False)
     objects = objects.withColumn("raw_len", F.col("raw_len") + (F.col("object_id") % 101 == 0).cast("int"))
     return maintenance.length_conflicts(refs, objects).select("object_id", *long("least", "most", "raw_len"))
 
@@ -470,7 +470,7 @@ def kv_table_totals(spark, sf_dir):
 
 @query(BLOCKS + "SELECT 'object' AS space, CAST(100 AS BIGINT) AS next_id, max(object_id) AS largest, 100 > max(object_id) AS ok FROM objects")
 def kv_counter_check(spark, sf_dir):
-    return maintenance.counter_check({"object": 100}, {"object": (fixtures.block_store(spark, sf_dir)[1], "object_id")})
+    return maintenance.counter_check({"object": 100}, {"object": (fixtures.block_store(spark, sf_dir, attach=False)[1], "object_id")})
 
 
 # --- codecs, generators, numbers ---------------------------------------------------------------

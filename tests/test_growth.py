@@ -41,6 +41,12 @@ def test_verify_reads_documents_for_references_and_counts_alone(spark, sf_dir):
     assert plan(QUERIES["kv_verify"](spark, sf_dir)).count("- Relation [") == 2
 
 
+def test_objects_are_numbered_without_their_bytes(spark, sf_dir):
+    optimized = plan(QUERIES["kv_counter_check"](spark, sf_dir))
+    assert "InMemoryRelation" in optimized and "block#" not in optimized.split("InMemoryRelation")[1].splitlines()[0]
+    assert "Window" not in optimized
+
+
 @pytest.mark.parametrize("digits", [64, 1])
 def test_equal_digests_do_not_make_blocks_equal(spark, monkeypatch, digits):
     monkeypatch.setattr(blocks, "digest", lambda block: F.substring(F.sha2(block, 256), 1, digits))
