@@ -618,14 +618,13 @@ def kv_greedy_batches(spark, sf_dir):
 @query()
 def kv_codec_choice(spark, sf_dir):
     """The codec of each block of the documents, and what it saves."""
-    units = fixtures.block_store(spark, sf_dir)[1].select("object_id", "raw_len", "block")
-    return maintenance.usage_by_codec(blocks.encode_units(units, Selector()))
+    return maintenance.usage_by_codec(blocks.encode_units(blocks.distinct(fixtures.document_blocks(spark, sf_dir)), Selector()))
 
 
 @query()
 def kv_codec_roundtrip(spark, sf_dir):
     """Every block decoded again and held against its digest."""
-    units = blocks.encode_units(fixtures.block_store(spark, sf_dir)[1].select("object_id", "raw_len", "block"), Selector())
+    units = blocks.encode_units(blocks.distinct(fixtures.document_blocks(spark, sf_dir)), Selector())
     done = blocks.decode_units(units)
     return done.groupBy("codec").agg(F.count("*").alias("units"), F.count_if(F.col("data") == F.col("block")).alias("exact"), F.count("problem").alias("problems"))
 
@@ -633,7 +632,7 @@ def kv_codec_roundtrip(spark, sf_dir):
 @query(BLOCKS + "SELECT count(*) AS units, count(*) AS exact, CAST(0 AS BIGINT) AS problems FROM objects")
 def kv_codec_exact(spark, sf_dir):
     """All blocks of the documents encoded, decoded and held against their bytes and digests."""
-    units = blocks.encode_units(fixtures.block_store(spark, sf_dir)[1].select("object_id", "raw_len", "block"), Selector())
+    units = blocks.encode_units(blocks.distinct(fixtures.document_blocks(spark, sf_dir)), Selector())
     return blocks.decode_units(units).agg(F.count("*").alias("units"), F.count_if(F.col("data") == F.col("block")).alias("exact"), F.count("problem").alias("problems"))
 
 

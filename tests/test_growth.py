@@ -47,6 +47,11 @@ def test_objects_are_numbered_without_their_bytes(spark, sf_dir):
     assert "Window" not in optimized
 
 
+def test_blocks_to_encode_are_not_numbered(spark, sf_dir):
+    optimized = plan(QUERIES["kv_codec_choice"](spark, sf_dir))
+    assert "InMemoryRelation" not in optimized and "Join" not in optimized and optimized.count("Aggregate") == 2
+
+
 @pytest.mark.parametrize("digits", [64, 1])
 def test_equal_digests_do_not_make_blocks_equal(spark, monkeypatch, digits):
     monkeypatch.setattr(blocks, "digest", lambda block: F.substring(F.sha2(block, 256), 1, digits))
