@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,15 @@ def validation_error(key: Column, value: Column, op: Column, config: Config) ->
     )
 
 
-#: Numbered rows that a task reads, about.
+#: Cached rows that a task reads, about.
 TASK_ROWS = 100_000
 
 
+def together(cached: DataFrame, n: int) -> DataFrame:
+    """``n`` cached rows with small parts read together: or each would write a file for every part of the next shuffle."""
+    return cached.coalesce(max(cached.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS))
+
+
 def numbered(rows: DataFrame, order: str, name: str, base: int = 0, held: list[DataFrame] | None = None) -> DataFrame:
     """``rows`` numbered base + 1, base + 2, ... in the order of a unique column, without a single-partition window.
 
@@ -48,8 +54,7 @@ def numbered(rows: DataFrame, order: str, name: str, base: int = 0, held: list[D
     if not offsets:
         return rows.withColumn(name, F.lit(None).cast("long"))
     first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part long, _at long"))  # a row a partition
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, (at - base) // TASK_ROWS)  # small parts are read together, or each would write a file for every part of the next shuffle
-    return dealt.coalesce(tasks).withColumn("_part", part).join(first, "_part").withColumn(name, F.col("_at") + within + 1).drop("_part", "_at", "_place")
+    return together(dealt, at - base).withColumn("_part", part).join(first, "_part").withColumn(name, F.col("_at") + within + 1).drop("_part", "_at", "_place")
 
 
 def effective(ops: DataFrame, keep_history: bool = True) -> DataFrame:
@@ -68,6 +73,27 @@ def effective_log(ops: DataFrame, base: int = 0) -> DataFrame:
     return log.select("key", "revision", kind.alias("kind"), F.when(F.col("op") == "put", F.col("value")).alias("value"), "ord")
 
 
+def unconditional(batch: pa.RecordBatch) -> bool:
+    """Whether a batch of ``fold`` has no expectations, so that only the row before decides on a row."""
+    if any(batch.column(c).null_count for c in ("ord", "key", "op")):
+        return False
+    return pc.all(pc.equal(pc.fill_null(batch.column("expect"), "any"), "any")).as_py()
+
+
+def fold_unconditional(batch: pa.RecordBatch, key, live: bool, by: int | None) -> tuple[list[pa.Array], bool]:
+    """``fold`` over whole columns: (outcome columns, live after them); ``key``, ``live`` and ``by`` are those of the row before."""
+    keys, ords, op, held = (batch.column(c) for c in ("key", "ord", "op", "held"))
+    n = len(batch)
+    same = pa.concat_arrays([pa.array([keys[0].as_py() == key]), pc.equal(keys.slice(1), keys.slice(0, n - 1))])
+    puts = pc.equal(op, "put")
+    before = pc.if_else(same, pa.concat_arrays([pa.array([live]), puts.slice(0, n - 1)]), pc.is_valid(held))
+    writer = pa.concat_arrays([pa.array([by], pa.int64()), ords.slice(0, n - 1)])
+    none = pa.scalar(None, pa.int64())
+    status = pc.if_else(pc.and_(pc.equal(op, "delete"), pc.invert(before)), "noop", "ok")
+    columns = [ords, keys, op, batch.column("value"), status, pc.if_else(before, held, none), pc.if_else(pc.and_(before, same), writer, none)]
+    return columns, puts[-1].as_py()
+
+
 OUTCOME = "ord long, key {key}, op string, value {value}, status string, actual long, touched long"
 
 
@@ -92,6 +118,11 @@ def fold(ops: DataFrame, state: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, live, revision, by = None, False, None, None
         for batch in batches:
+            if len(batch) and unconditional(batch):
+                columns, live = fold_unconditional(batch, key, live, by)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                key, revision, by = (batch.column(c)[-1].as_py() for c in ("key", "held", "ord"))
+                continue
             out = []
             for r in batch.to_pylist():
                 if r["key"] != key:
@@ -113,8 +144,14 @@ def fold(ops: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def write_batch_each(ops: DataFrame, state: DataFrame, base: int = 0, keep_history: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
-    """Outcomes in which operations that conflict are skipped; effective ones get the revisions after ``base``."""
-    out = fold(ops, state)
+    """Outcomes in which operations that conflict are skipped; effective ones get the revisions after ``base``.
+
+    The fold's rows stay cached, so that they are folded once and not for each pass of the numbering.
+    """
+    out = fold(ops, state).persist()
+    if held is not None:
+        held.append(out)
+    out = together(out, out.count())
     takes = (F.col("status") == "ok") & (F.lit(True) if keep_history else F.col("op") == "put")
     given = numbered(out.where(takes).select(F.col("ord").alias("_ord")), "_ord", "revision", base, held)
     return out.join(given, F.col("ord") == F.col("_ord"), "left").drop("_ord")

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import blocks, maintenance
+from palimpsest.operators import blocks, maintenance, writes
 from palimpsest.plans.queries import QUERIES
+from palimpsest.plans.store import Store
 
 
 def plan(df):
@@ -65,3 +66,57 @@ def test_equal_digests_do_not_make_blocks_equal(spark, monkeypatch, digits):
     again, new = blocks.dedupe(more, objects, 41)
     assert [(r.object_id, bytes(r.block)) for r in new.collect()] == [(42, b"new")]
     assert sorted(r.object_id for r in again.collect()) == [1, 2, 2, 2, 2, 2, 3, 4, 5, 6, 42]
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_unconditional_operations_fold_as_columns(spark, monkeypatch, batch):
+    rng = random.Random(batch)
+    keys = ["a", "b", "c", "d", None]
+    rows = [(k, rng.choice(keys), rng.choice(("put", "delete")), "absent" if k % 23 == 9 else rng.choice(("any", None)), str(k)) for k in range(200)]
+    state = {"a": 7, "c": 9}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        ops = spark.createDataFrame(rows, "ord long, key string, op string, expect string, value string")
+        got = {r.ord: (r.key, r.op, r.value, r.status, r.actual, r.touched) for r in writes.fold(ops, spark.createDataFrame(list(state.items()), "key string, revision long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    live, by = dict.fromkeys(state, True), {}
+    for k, key, op, expect, value in rows:
+        there = live.get(key, False)
+        seen = (state.get(key), by.get(key)) if there else (None, None)
+        status = "conflict" if expect == "absent" and there else "noop" if op == "delete" and not there else "ok"
+        if status == "ok":
+            live[key], by[key] = op == "put", k
+        assert got[k] == (key, op, value, status, *seen)
+
+
+def test_a_batch_is_folded_once(spark):
+    passes = spark.sparkContext.accumulator(0)
+    fold = writes.fold
+
+    def counted(ops, state):
+        out = fold(ops, state)
+
+        def run(batches):
+            for one in batches:
+                passes.add(len(one))
+                yield one
+
+        return out.mapInArrow(run, out.schema)
+
+    ops = spark.range(50).select(F.col("id").alias("ord"), (F.col("id") % 7).cast("string").alias("key"), F.lit("put").alias("op"))
+    held = []
+    writes.fold = counted
+    try:
+        out = writes.write_batch_each(ops, spark.createDataFrame([], "key string, revision long"), held=held)
+        assert sorted(r.revision for r in out.collect()) == list(range(1, 51)) and passes.value == 50
+    finally:
+        writes.fold = fold
+        for rows in held:
+            rows.unpersist()
+
+
+def test_values_without_blocks_need_no_joins(spark, tmp_path):
+    one = Store(spark, str(tmp_path / "store"))
+    one.put(b"k", b"v")
+    assert "Join" not in plan(one.revisions()) and [bytes(r.value) for r in one.revisions().collect()] == [b"v"]
